@@ -8,13 +8,17 @@ there is one schema per event type.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions.text import cell_of, fingerprint
 from gridloom.operators.blocks import numbered
-from gridloom.operators.unpivot import rows_of_wide, tables_of_wide
+from gridloom.operators import detect, star
+from gridloom.operators.unpivot import rows_of_wide, tables_of_wide, unpivot_rows
+from gridloom.session import shared_folder
+from gridloom.sources.sinks import append_raw, read_facts, read_raw, replace_facts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,17 +50,66 @@ def monthly_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str
     return wide, headers
 
 
+# Layers written in this process, by application, data folder and name.
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a layer, written once per application: raw rows and facts are stored tables, not lineage."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _written:
+        path = f"{shared_folder(spark, 'gridloom')}/{name}"
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def layers_of(spark: SparkSession, folder: str, name: str, build) -> tuple[DataFrame, DataFrame]:
+    """Stored raw rows and table catalog."""
+
+    def write(path: str) -> None:
+        raw, tables = build(spark, folder)
+        append_raw(raw, f"{path}/raw")
+        tables(read_raw(spark, f"{path}/raw")).write.parquet(f"{path}/tables")
+
+    path = stored(spark, folder, name, write)
+    return read_raw(spark, f"{path}/raw"), spark.read.parquet(f"{path}/tables")
+
+
 def sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Raw rows and table catalog of the inverted sales sheets."""
+    return layers_of(spark, folder, "sales", build_sales)
+
+
+def build_sales(spark: SparkSession, folder: str):
     wide, headers = monthly_sales(spark, folder)
     customer = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") + 1).cast("bigint").alias("file_id"),
         F.col("c_mktsegment").alias("sheet"), F.col("c_name").alias("Cliente"), F.col("c_acctbal").alias("Saldo"),
     )
-    rows = numbered(wide.join(customer, "o_custkey"), ["file_id", "sheet"], "o_custkey", "_n")
     columns = ["Cliente", "Saldo", *headers]
+    lines = numbered(customer.join(table(spark, folder, "orders").select("o_custkey"), "o_custkey", "left_semi"),
+                     ["file_id", "sheet"], "o_custkey", "_n")
+    rows = wide.join(lines, "o_custkey")
     raw = rows_of_wide(rows, F.col("file_id"), F.col("sheet"), F.col("_n") + 1, columns)
-    return raw, tables_of_wide(raw, columns)
+    return raw, lambda written: tables_of_wide(written, columns)
+
+
+def star_of_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored fact, file, date and column tables of the sales sheets."""
+
+    def write(path: str) -> None:
+        raw, tables = sales(spark, folder)
+        verdict = detect.verdict(raw, detect.schemas(tables))
+        rows = unpivot_rows(raw, detect.layout(verdict), tables)
+        replace_facts(star.fact(rows), f"{path}/fact")
+        star.dim_file(raw, files(spark, folder)).write.parquet(f"{path}/file")
+        star.dim_date(verdict.filter("is_date")).write.parquet(f"{path}/date")
+        star.dim_column(rows).write.parquet(f"{path}/column")
+
+    path = stored(spark, folder, "sales_star", write)
+    dims = [spark.read.parquet(f"{path}/{d}") for d in ("file", "date", "column")]
+    return read_facts(spark, f"{path}/fact"), *dims
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,16 +133,18 @@ head as (
   from (select unnest(generate_series(date_trunc('month', (select min(o_orderdate) from orders)),
                                       (select max(o_orderdate) from orders), interval 1 month)) as m)),
 hash as (select md5(lower(joined)) as h, n_cols from head),
+early as (select * from buyer order by line_no, file_id, sheet limit 500),
+dated as (select distinct header from sale join early using (file_id, sheet, c_custkey)),
 fact as (
   select b.file_id, null::integer as date_key, md5(h || '|Cliente') as column_key, h as schema_hash, b.sheet, b.line_no,
-         b.c_name as value_text, null::double as value_num, 'Cliente' as name, null::date as month
+         b.c_name as value_text, null::double as value_num, 'Cliente' as name, null::date as month, null::date as any_month
   from buyer b, hash
   union all
-  select b.file_id, null, md5(h || '|Saldo'), h, b.sheet, b.line_no, null, b.c_acctbal, 'Saldo', null from buyer b, hash
+  select b.file_id, null, md5(h || '|Saldo'), h, b.sheet, b.line_no, null, b.c_acctbal, 'Saldo', null, null from buyer b, hash
   union all
-  select s.file_id, cast(strftime(s.month, '%Y%m%d') as integer), md5(h || '|' || s.header), h, s.sheet, b.line_no,
-         null, s.v, s.header, s.month
-  from sale s join buyer b using (file_id, sheet, c_custkey), hash)
+  select s.file_id, case when d.header is not null then cast(strftime(s.month, '%Y%m%d') as integer) end,
+         md5(h || '|' || s.header), h, s.sheet, b.line_no, null, s.v, s.header, case when d.header is not null then s.month end, s.month
+  from sale s join buyer b using (file_id, sheet, c_custkey) left join dated d on d.header = s.header, hash)
 """
 
 
@@ -106,6 +161,14 @@ EVENT_HEADERS = ["User", "2024", "01/2024", "02/2024", "03/2024", "2024-01-15"]
 
 def event_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Raw rows and catalog of the event sheets: one schema per event type."""
+    return layers_of(spark, folder, "events", build_events)
+
+
+def event_header(kind: Column) -> Column:
+    return F.array(F.concat(F.lit("Type "), kind), *[F.lit(h) for h in EVENT_HEADERS])
+
+
+def build_events(spark: SparkSession, folder: str):
     e = events_numbered(spark, folder)
     text = {c: e.schema[c].dataType for c in e.columns}
     day = F.date_format("ts", "dd/MM/yyyy")
@@ -115,12 +178,16 @@ def event_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         cell_of(F.col("event_type"), string), cell_of(F.col("user_id"), text["user_id"]), cell_of(F.col("event_type"), string),
         cell_of(F.col("value"), text["value"]), cell_of(day, string), cell_of(odd, string), cell_of(F.lit(None).cast("string"), string),
     )
-    header = F.array(F.concat(F.lit("Type "), "event_type"), *[F.lit(h) for h in EVENT_HEADERS])
-    rows = e.select("file_id", F.col("sheet").alias("table_name"), "line_no", header.alias("header"), cells.alias("cells")).withColumn(
-        "schema_hash", fingerprint(F.col("header"))
+    rows = e.select(
+        "file_id", F.col("sheet").alias("table_name"), "line_no", cells.alias("cells"),
+        fingerprint(event_header(F.col("event_type"))).alias("schema_hash"),
     )
-    tables = rows.groupBy("file_id", "table_name", "schema_hash", "header").agg(F.count("*").alias("n_rows"))
-    return rows.drop("header"), tables
+
+    def tables(written: DataFrame) -> DataFrame:
+        counted = written.groupBy("file_id", "table_name", "schema_hash").agg(F.count("*").alias("n_rows"))
+        return counted.withColumn("header", event_header(F.col("table_name")))
+
+    return rows, tables
 
 
 EVENT_SQL = """

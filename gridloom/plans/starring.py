@@ -46,7 +46,7 @@ from (select cast(o_orderdate as date) as d from orders union select cast(date_t
 """
 
 
-def _part_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _part_rows(spark: SparkSession, folder: str):
     """Brand files, type sheets; accented headers; the 'Preço' column holds a word first in some brands."""
     p = inputs.numbered(
         table(spark, folder, "part").withColumn("file_id", F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")),
@@ -56,19 +56,29 @@ def _part_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     price = F.when(
         (F.col("file_id") % 2 == 0) & (F.col("line_no") == 2), cell_of(F.lit("s/ preço"), string)
     ).otherwise(cell_of(F.col("p_retailprice"), p.schema["p_retailprice"].dataType))
-    names = F.array(F.lit("Peça Nº"), F.concat(F.lit("Descrição "), "p_brand"), F.lit("Preço (R$)"), F.lit("Tamanho-médio"), F.lit("2024"))
+    names = _part_header(F.col("p_brand"))
     cells = F.array(
         cell_of(F.col("p_partkey"), p.schema["p_partkey"].dataType), cell_of(F.col("p_name"), string), price,
         cell_of(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), p.schema["p_size"].dataType), cell_of(F.lit(""), string),
     )
     rows = p.select("file_id", F.col("p_type").alias("table_name"), "line_no", names.alias("header"), cells.alias("cells"))
     rows = rows.withColumn("schema_hash", fingerprint(F.col("header")))
-    tables = rows.groupBy(*TABLE, "schema_hash", "header").agg(F.count("*").alias("n_rows"))
+
+    def tables(written: DataFrame) -> DataFrame:
+        counted = written.groupBy(*TABLE, "schema_hash").agg(F.count("*").alias("n_rows"))
+        brand = F.concat(F.lit("Brand#"), F.col("file_id").cast("string"))
+        return counted.withColumn("header", _part_header(brand))
+
     return rows.drop("header"), tables
 
 
+def _part_header(brand):
+    fixed = F.concat(F.lit("Descrição "), brand)
+    return F.array(F.lit("Peça Nº"), fixed, F.lit("Preço (R$)"), F.lit("Tamanho-médio"), F.lit("2024"))
+
+
 def dim_column(spark: SparkSession, folder: str) -> DataFrame:
-    return star.dim_column(load(*_part_rows(spark, folder))[1])
+    return star.dim_column(load(*inputs.layers_of(spark, folder, "parts", _part_rows))[1])
 
 
 DIM_COLUMN_SQL = """
@@ -139,7 +149,7 @@ select file_id, sheet, line_no, count(*) as n, count(date_key) as n_dated, count
        cast(coalesce(sum(case when date_key is not null then cast(value_num as decimal(18,2)) end), 0) as double) as total
 from fact group by file_id, sheet, line_no
 union all
-select file_id, sheet, line_no + 1000000, n_cols, n_cols - 2, n_cols, n_cols - 2, 0 from buyer, hash where line_no % 50 = 0
+select file_id, sheet, line_no + 1000000, n_cols, (select count(*) from dated), n_cols, n_cols - 2, 0 from buyer, hash where line_no % 50 = 0
 """
 
 
@@ -150,17 +160,14 @@ def inverted_mode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 INVERTED_MODE_SQL = f"""with {SALES_SQL}
-select file_id, sheet, line_no, date_key, md5(h || '|Cliente') as column_key, 'Cliente' as name, value_text, value_num
-from fact, hash where date_key is not null"""
+select file_id, sheet, line_no, cast(strftime(any_month, '%Y%m%d') as integer) as date_key, md5(h || '|Cliente') as column_key,
+       'Cliente' as name, value_text, value_num
+from fact, hash where any_month is not null"""
 
 
 def star_view(spark: SparkSession, folder: str) -> DataFrame:
     """Fact with its three dimensions, by date and column."""
-    raw, tables = inputs.sales(spark, folder)
-    verdict, rows = load(raw, tables)
-    view = star.star_view(
-        star.fact(rows), star.dim_file(raw, inputs.files(spark, folder)), star.dim_date(verdict.filter("is_date")), star.dim_column(rows)
-    )
+    view = star.star_view(*inputs.star_of_sales(spark, folder))
     return view.select(
         "file_id", "sheet", "line_no", "file_name", "source_uri", F.date_format("full_date", "yyyy-MM-dd").alias("full_date"),
         "month_name", "quarter", "original_name", "normalized_name", "dtype", "value_text", "value_num",
@@ -177,11 +184,7 @@ from fact join nation on n_nationkey + 1 = file_id"""
 
 def star_totals(spark: SparkSession, folder: str) -> DataFrame:
     """Totals per file, year and quarter from the star."""
-    raw, tables = inputs.sales(spark, folder)
-    verdict, rows = load(raw, tables)
-    view = star.star_view(
-        star.fact(rows), star.dim_file(raw, inputs.files(spark, folder)), star.dim_date(verdict.filter("is_date")), star.dim_column(rows)
-    )
+    view = star.star_view(*inputs.star_of_sales(spark, folder))
     return (
         view.filter("date_key is not null")
         .groupBy("file_name", "year", "quarter")

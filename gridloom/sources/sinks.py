@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.blocks import block_of
 from gridloom.operators.grid import SHEET
@@ -11,11 +11,24 @@ from gridloom.operators.reshape import project
 LINE = [*SHEET, "line_no"]
 
 
+# Stored layers. Hashes are hex text, which partition discovery could take for
+# numbers, so layers are always read with their schema.
+RAW = "file_id bigint, table_name string, line_no bigint, cells array<struct<kind:string,num:double,txt:string>>, schema_hash string"
+FACTS = (
+    "load_no bigint, file_id bigint, date_key int, column_key string, sheet string, line_no bigint, "
+    "value_text string, value_num double, value_date timestamp_ntz, schema_hash string"
+)
+
+
 def append_raw(raw: DataFrame, path: str) -> None:
     """Add raw rows, one folder per schema. Rebalancing splits large schemas and joins small ones."""
     raw.hint("rebalance", "schema_hash").write.mode("append").partitionBy("schema_hash").parquet(path)
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RAW).parquet(path)
+
+
 def replace_facts(fact: DataFrame, path: str) -> None:
     """Write facts; schemas in this load replace their old facts, so a second run changes nothing."""
     (
@@ -27,6 +40,10 @@ def replace_facts(fact: DataFrame, path: str) -> None:
     )
 
 
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FACTS).parquet(path)
+
+
 def write_sheets(rows: DataFrame, layout: DataFrame, path: str, fmt: str = "csv", as_text: bool = True) -> list[str]:
     """Write corrected rows, one folder per (file, sheet), and return the folders of the column sets.
 
