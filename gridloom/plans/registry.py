@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import starring, unpivoting
+from gridloom.plans import readback, starring, unpivoting, upkeep
 
-MODULES = [unpivoting, starring]
+MODULES = [unpivoting, starring, readback, upkeep]
 
 
 def registered() -> dict:
