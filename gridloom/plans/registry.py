@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import readback, starring, unpivoting, upkeep
+from gridloom.plans import gridding, readback, starring, unpivoting, upkeep
 
-MODULES = [unpivoting, starring, readback, upkeep]
+MODULES = [unpivoting, starring, readback, gridding, upkeep]
 
 
 def registered() -> dict:

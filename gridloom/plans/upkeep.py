@@ -53,33 +53,50 @@ select file_id, table_name, version, old_hash, new_hash, array_to_string(added,
 from audit"""
 
 
-def _of_year(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    rows = _versions(spark, folder).filter(F.col("version") == year)
-    return rows.withColumn("n_rows", F.size("header").cast("bigint")).withColumnRenamed("version", "modified_at")
+def _scan(spark: SparkSession, folder: str, left_out: str, scan_no: int) -> DataFrame:
+    """Catalog of one scan: a sheet per customer, its header the months of all orders but those in one status."""
+    months = (
+        table(spark, folder, "orders")
+        .filter(F.col("o_orderstatus") != left_out)
+        .select((F.col("o_custkey") + 1).alias("file_id"), F.date_format("o_orderdate", "yyyy-MM").alias("m"))
+        .distinct()
+    )
+    rows = months.groupBy("file_id").agg(F.array_sort(F.collect_list("m")).alias("header"), F.count("*").alias("n_rows"))
+    return rows.select(
+        "file_id", F.lit("Pedidos").alias("table_name"), "header", fingerprint(F.col("header")).alias("schema_hash"),
+        "n_rows", F.lit(scan_no).alias("modified_at"),
+    )
+
+
+_SCANS_SQL = """
+month as (select o_custkey + 1 as file_id, o_orderstatus as s, strftime(o_orderdate, '%Y-%m') as m from orders),
+old as (select file_id, list(m order by m) as header from (select distinct file_id, m from month where s <> 'P') group by file_id),
+new as (select file_id, list(m order by m) as header from (select distinct file_id, m from month where s <> 'F') group by file_id)
+"""
 
 
 def catalog_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Two scans of the same folder: which tables changed, and how."""
-    audit = catalog.changes(_of_year(spark, folder, 1996), _of_year(spark, folder, 1997))
+    audit = catalog.changes(_scan(spark, folder, "P", 1), _scan(spark, folder, "F", 2))
     return audit.select("file_id", "table_name", "old_hash", "new_hash", _text("added"), _text("removed"))
 
 
-CATALOG_CHANGES_SQL = f"""with {_VERSIONS_SQL}
-select n.file_id, n.table_name, o.schema_hash as old_hash, n.schema_hash as new_hash,
+CATALOG_CHANGES_SQL = f"""with {_SCANS_SQL}
+select n.file_id, 'Pedidos' as table_name, md5(array_to_string(o.header, '|')) as old_hash, md5(array_to_string(n.header, '|')) as new_hash,
        array_to_string(list_filter(n.header, lambda x: not list_contains(o.header, x)), ',') as added,
        array_to_string(list_filter(o.header, lambda x: not list_contains(n.header, x)), ',') as removed
-from version n join version o on o.file_id = n.file_id and o.version = 1996 and n.version = 1997 and o.schema_hash <> n.schema_hash"""
+from new n join old o on o.file_id = n.file_id and o.header <> n.header"""
 
 
 def catalog_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    merged = catalog.upsert_tables(_of_year(spark, folder, 1996), _of_year(spark, folder, 1997))
+    merged = catalog.upsert_tables(_scan(spark, folder, "P", 1), _scan(spark, folder, "F", 2))
     return merged.select("file_id", "table_name", "schema_hash", "n_rows", "modified_at", _text("header"))
 
 
-CATALOG_UPSERT_SQL = f"""with {_VERSIONS_SQL}
-select file_id, table_name, schema_hash, len(header) + 1 as n_rows, version as modified_at, 'Cliente,' || array_to_string(header, ',') as header
-from version v where version = 1997
-   or (version = 1996 and not exists (select 1 from version w where w.file_id = v.file_id and w.version = 1997))"""
+CATALOG_UPSERT_SQL = f"""with {_SCANS_SQL}
+select file_id, 'Pedidos' as table_name, md5(array_to_string(header, '|')) as schema_hash, cast(len(header) as bigint) as n_rows,
+       cast(modified_at as integer) as modified_at, array_to_string(header, ',') as header
+from (select *, 2 as modified_at from new union all select *, 1 from old where file_id not in (select file_id from new))"""
 
 
 def latest_schema_changes(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.functions.text import CELL
-from gridloom.operators.blocks import BLOCK
+from gridloom.operators.blocks import BLOCK, running_sum
 from gridloom.operators.unpivot import rows_of_wide
 
 # The file types that are looked for.
@@ -49,26 +49,24 @@ def csv_cells(line: Column, sep: str = ";", numbers: bool = True) -> Column:
     return F.when(line == "", F.array().cast(f"array<{CELL.simpleString()}>")).otherwise(F.transform(raw, cell))
 
 
-def read_csv_grid(spark: SparkSession, path: str, sep: str = ";", numbers: bool = True) -> DataFrame:
+def read_csv_grid(spark: SparkSession, path: str, sep: str = ";", numbers: bool = True, glob: str = "*.csv") -> DataFrame:
     """CSV files as grids: ``path, sheet, row_no, cells``; blank lines are kept, they part tables.
 
     Files are read in splits, so a file of any size spreads over many tasks: rows
     are counted per split, and the counts before a split are added. Quoted fields
     may not hold line breaks here; ``spark.read.csv(multiLine=True)`` reads those.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path).select(
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
     splits = lines.groupBy("path", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    from gridloom.operators.blocks import numbered, running_sum  # noqa: F401
-
     before = running_sum(splits, ["path"], "_start", F.col("_n"), "_upto", block=BLOCK * 4096)
     placed = lines.join(before, ["path", "_start"])
     row_no = F.col("_id") - F.col("_first") + F.col("_upto") - F.col("_n") + 1
-    text = F.when(row_no == 1, F.ltrim(F.col("value"), F.lit("﻿"))).otherwise(F.col("value"))
+    text = F.when(row_no == 1, F.ltrim(F.col("value"), F.lit("\ufeff"))).otherwise(F.col("value"))
     sheet = F.regexp_replace(F.substring_index("path", "/", -1), r"\.csv$", "")
     return placed.select("path", sheet.alias("sheet"), row_no.alias("row_no"), csv_cells(text, sep, numbers).alias("cells"))
 
@@ -85,6 +83,8 @@ def read_parquet_rows(spark: SparkSession, path: str, file_id: Column) -> tuple[
     """
     df = spark.read.option("recursiveFileLookup", "true").parquet(path)
     header = df.columns
-    located = df.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("_row"))
+    located = df.select(
+        "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("_row")
+    )
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.parquet$", "")
     return rows_of_wide(located, file_id, name, F.col("_row") + 2, header), header
