@@ -30,23 +30,27 @@ def _rewritten(text: Column, *rules: tuple[str, str]) -> Column:
     return text
 
 
-def _parsed(iso: Column) -> Column:
+def _parsed(iso: Column, part: str) -> Column:
     """Date of an ISO-shaped text, null for anything else and for the year 0000."""
-    return F.when(iso.rlike(r"\A(?!0000)\d{4}-\d{1,2}-\d{1,2}\z"), F.try_to_date(iso, "yyyy-M-d"))
+    return F.when(iso.rlike(rf"\A(?!0000)\d{{4}}-{part}-{part}\z"), F.try_to_date(iso, "yyyy-M-d"))
+
+
+def _iso(text: Column, dash_only: bool) -> Column:
+    """ISO text of dd-mm-yyyy, mm-yyyy, yyyy-mm and yyyy by position; other text as it is."""
+    at = lambda start, n: F.substring(text, start, n)
+    size, third = F.length(text), at(3, 1)
+    parted = third == "-" if dash_only else third.isin("-", "/")
+    return (
+        F.when((size == 10) & parted & (at(6, 1) == third), F.concat(at(7, 4), F.lit("-"), at(4, 2), F.lit("-"), at(1, 2)))
+        .when((size == 7) & parted, F.concat(at(4, 4), F.lit("-"), at(1, 2), F.lit("-01")))
+        .when(size == 7, F.concat(text, F.lit("-01")))
+        .otherwise(F.when(size == 4, F.concat(text, F.lit("-01-01"))).otherwise(text) if dash_only else text)
+    )
 
 
 def header_date(name: Column) -> Column:
     """Date of a header; months and years give their first day, the impossible null."""
-    return _parsed(
-        _rewritten(
-            F.translate(strip(name), "/", "-"),
-            (r"\A(\d{2})-(\d{2})-(\d{4})\z", "$3-$2-$1"),
-            (r"\A(\d{2})-(\d{4})\z", "$2-$1"),
-            (r"\A(\d{4})\z", "$1-01"),
-            (r"\A(\d{4}-\d{2})\z", "$1-01"),
-            (r"\A(?!\d{4}-\d{2}-\d{2}\z).*", ""),
-        )
-    )
+    return _parsed(_iso(F.translate(strip(name), "/", "-"), dash_only=True), r"\d{2}")
 
 
 def date_key(date: Column) -> Column:
@@ -56,14 +60,7 @@ def date_key(date: Column) -> Column:
 
 def is_date_value(text: Column) -> Column:
     """Strict date test of the value vote (two-digit days and months, one separator)."""
-    iso = _rewritten(
-        strip(text),
-        (r"\A(\d{2})([/-])(\d{2})\2(\d{4})\z", "$4-$3-$1"),
-        (r"\A(\d{2})[/-](\d{4})\z", "$2-$1"),
-        (r"\A(\d{4}-\d{2})\z", "$1-01"),
-        (r"\A(?!\d{4}-\d{2}-\d{2}\z).*", ""),
-    )
-    return _parsed(iso).isNotNull()
+    return _parsed(_iso(strip(text), dash_only=False), r"\d{2}").isNotNull()
 
 
 def value_timestamp(text: Column) -> Column:
@@ -77,7 +74,7 @@ def value_timestamp(text: Column) -> Column:
         (r"\A(\d{4}-\d{1,2}-) ([1-9])\z", "$1$2"),
     )
     # Ordinary text is turned away by one test.
-    return F.when(value.rlike(r"\A\d{1,4}[/-]"), _parsed(iso)).cast("timestamp_ntz")
+    return F.when(value.rlike(r"\A\d{1,4}[/-]"), _parsed(iso, r"\d{1,2}")).cast("timestamp_ntz")
 
 
 def date_label(name: Column) -> Column:

@@ -40,15 +40,15 @@ def number_text(num: Column) -> Column:
     """
     num = num.cast("double")
     java = num.cast("string")
-    plain = F.rtrim(num.try_cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.regexp_replace(num.try_cast("decimal(38,20)").cast("string"), r"(\.0|\.\d*?[1-9])0+\z", "$1")
     # The JVM's text of very large doubles can be longer than needed: take the
     # rounding to 16 or 17 digits if it still reads back as the same number.
     short = [F.format_string(f"%.{n}E", num) for n in (15, 16)]
     exact = F.coalesce(*[F.when(t.try_cast("double") == num, t) for t in short], java)
-    scientific = F.regexp_replace(F.regexp_replace(exact, r"\.?0*E\+?(\d)", "e+$1"), r"\.?0*E-0?(\d)\z", "e-0$1")
+    scientific = F.regexp_replace(F.regexp_replace(exact, r"\.?0*E\+?(\d\d)", "e+$1"), r"\.?0*E-0?(\d)\z", "e-0$1")
     return (
         F.when(~java.rlike("[EIN]"), java)
-        .when(F.abs(num).between(F.lit(1e-4), F.lit(9999999999999998.0)), F.regexp_replace(plain, r"\.\z", ".0"))
+        .when(F.abs(num).between(F.lit(1e-4), F.lit(9999999999999998.0)), plain)
         .when(java.contains("E"), F.regexp_replace(scientific, r"\.?0*E-", "e-"))
         .otherwise(F.replace(F.lower(java), F.lit("infinity"), F.lit("inf")))
     )

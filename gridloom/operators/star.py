@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions.dates import date_key, header_date
 from gridloom.functions.text import normalized_name
+from gridloom.operators.unpivot import column_key
 
 FACT = [
     "load_no", "file_id", "date_key", "column_key", "schema_hash", "sheet", "line_no",
@@ -23,7 +24,9 @@ def fact(unpivoted: DataFrame) -> DataFrame:
 
 def dim_date(headers: DataFrame, name: str = "name") -> DataFrame:
     """One row per distinct date of the given date headers; impossible headers give none."""
-    dates = headers.select(header_date(F.col(name)).alias("full_date")).filter("full_date is not null").distinct()
+    # Parse each distinct header once: an aggregate keeps the null test from moving below the first one.
+    names = headers.select(name).distinct().groupBy(name).agg(F.first(header_date(F.col(name))).alias("full_date"))
+    dates = names.filter("full_date is not null").select("full_date").distinct()
     d = F.col("full_date")
     return dates.select(
         date_key(d).alias("date_key"), d, F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day"),
@@ -31,22 +34,23 @@ def dim_date(headers: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
-def dim_column(unpivoted: DataFrame) -> DataFrame:
-    """Columns with at least one value. The first value decides the type of a fixed column; dates are numbers."""
+def dim_column(fact: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Columns with at least one value. The first value decides the type of a fixed column; dates are numbers.
+
+    Only narrow fact columns are read, and ``min_by`` combines before the shuffle.
+    """
     order = F.struct("line_no", "file_id", "sheet")
-    first = unpivoted.groupBy("column_key", "schema_hash", F.col("name").alias("original_name")).agg(
-        F.max("is_date").alias("_is_date"), F.min_by(F.col("value_text").isNotNull(), order).alias("_is_text")
-    )
-    return first.select(
-        "column_key", "schema_hash", "original_name", normalized_name(F.col("original_name")).alias("normalized_name"),
-        F.when(F.col("_is_text") & ~F.col("_is_date"), "text").otherwise("number").alias("dtype"),
+    used = fact.groupBy("column_key").agg(F.min_by(F.col("value_text").isNotNull(), order).alias("_is_text"))
+    names = verdict.select("schema_hash", "name", "is_date").distinct()
+    known = names.withColumn("column_key", column_key(F.col("schema_hash"), F.col("name")))
+    return known.join(used, "column_key").select(
+        "column_key", "schema_hash", F.col("name").alias("original_name"), normalized_name(F.col("name")).alias("normalized_name"),
+        F.when(F.col("_is_text") & ~F.col("is_date"), "text").otherwise("number").alias("dtype"),
     )
 
 
 def dim_column_inverted(layout: DataFrame, entity: str) -> DataFrame:
     """The one column of inverted mode, for every schema with a date header."""
-    from gridloom.operators.unpivot import column_key
-
     hashes = layout.filter(F.exists("columns", lambda c: c["is_date"])).select("schema_hash")
     return hashes.select(
         column_key(F.col("schema_hash"), F.lit(entity)).alias("column_key"), "schema_hash", F.lit(entity).alias("original_name"),

@@ -13,12 +13,15 @@ from gridloom.plans.inputs import table
 from gridloom.plans.readback import CORRECTED_INVERTED_SQL, PART_SQL
 from gridloom.plans.workbooks import workbook
 from gridloom.sources import files as sources, sinks
-from gridloom.sources.workbook import good_rows, scan_workbooks
+from gridloom.sources.workbook import SCHEMA, good_rows, scan_workbooks
 
 
 def event_grid(spark: SparkSession, folder: str) -> DataFrame:
     """One sheet per user, one row per event in order; an error event is a blank row."""
-    e = table(spark, folder, "events")
+    return inputs.stored_grid(spark, folder, "event_grid", lambda: _event_grid(table(spark, folder, "events")))
+
+
+def _event_grid(e: DataFrame) -> DataFrame:
     rows = numbered(e.select(F.col("user_id").alias("file_id"), F.lit("log").alias("sheet"), "event_id", "event_type", "value"),
                     ["file_id", "sheet"], "event_id", "row_no")
     blank = F.col("event_type") == "error"
@@ -57,7 +60,10 @@ select file_id, 'log' as sheet, cast(table_no as integer) as table_no,
 
 def document_grid(spark: SparkSession, folder: str) -> DataFrame:
     """One sheet per document, one row per line, one cell per word; lines of under 60 characters are breaks."""
-    d = table(spark, folder, "documents")
+    return inputs.stored_grid(spark, folder, "document_grid", lambda: _document_grid(table(spark, folder, "documents")))
+
+
+def _document_grid(d: DataFrame) -> DataFrame:
     line = d.select(F.col("doc_id").alias("file_id"), F.lit("text").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("_i", "line"))
     cell = F.transform(F.split("line", " "), lambda w: F.struct(F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), w.alias("txt")))
     none = F.array().cast("array<struct<kind:string,num:double,txt:string>>")
@@ -264,8 +270,12 @@ def _books(pdf: pd.DataFrame) -> pd.DataFrame:
 def workbook_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Customers put into workbooks of 500, scanned, segmented and read as raw rows."""
     c = table(spark, folder, "customer").withColumn("book", F.floor(F.col("c_custkey") / _ROWS_PER_BOOK))
-    made = c.groupBy("book").applyInPandas(_books, "file_id bigint, content binary")
-    g = good_rows(scan_workbooks(made))
+
+    def write(path: str) -> None:
+        made = c.groupBy("book").applyInPandas(_books, "file_id bigint, content binary")
+        scan_workbooks(made).write.parquet(path)
+
+    g = good_rows(spark.read.schema(SCHEMA).parquet(inputs.stored(spark, folder, "books", write)))
     raw = grid.raw_rows(g, grid.tables(g, grid.table_extents(g, min_rows=2)))
     return raw.select(
         "file_id", grid.parse_sub_table(F.col("table_name"))[0].alias("sheet"), F.transform("cells", cell_text)[0].alias("first"),

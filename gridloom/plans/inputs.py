@@ -18,7 +18,7 @@ from gridloom.operators.blocks import numbered
 from gridloom.operators import detect, star
 from gridloom.operators.unpivot import rows_of_wide, tables_of_wide, unpivot_rows
 from gridloom.session import shared_folder
-from gridloom.sources.sinks import append_raw, read_facts, read_raw, replace_facts
+from gridloom.sources.sinks import GRID, append_raw, read_facts, read_raw, replace_facts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def stored(spark: SparkSession, folder: str, name: str, write: Callable[[str], N
     return _written[key]
 
 
+def stored_grid(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A scanned grid, written once: everything after the scan reads the table, not the files."""
+    return spark.read.schema(GRID).parquet(stored(spark, folder, name, lambda path: build().write.parquet(path)))
+
+
 def layers_of(spark: SparkSession, folder: str, name: str, build) -> tuple[DataFrame, DataFrame]:
     """Stored raw rows and table catalog."""
 
@@ -98,20 +103,21 @@ def build_sales(spark: SparkSession, folder: str):
 def star_of_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Stored fact, file, date and column tables of the sales sheets."""
 
-    def write(path: str) -> None:
-        raw, tables = sales(spark, folder)
-        verdict = detect.verdict(raw, detect.schemas(tables))
-        rows = unpivot_rows(raw, detect.layout(verdict), tables)
-        replace_facts(star.fact(rows), f"{path}/fact")
-        star.dim_file(raw, files(spark, folder)).write.parquet(f"{path}/file")
-        star.dim_date(verdict.filter("is_date")).write.parquet(f"{path}/date")
-        star.dim_column(rows).write.parquet(f"{path}/column")
-
-    path = stored(spark, folder, "sales_star", write)
+    path = stored(spark, folder, "sales_star", lambda path: write_star(spark, path, *sales(spark, folder), files(spark, folder)))
     dims = [spark.read.parquet(f"{path}/{d}") for d in ("file", "date", "column")]
     return read_facts(spark, f"{path}/fact"), *dims
 
 
+def write_star(spark: SparkSession, path: str, raw: DataFrame, tables: DataFrame, manifest: DataFrame) -> None:
+    """Load a star: the small verdict is written first, then the facts, then dimensions from what is stored."""
+    detect.verdict(raw, detect.schemas(tables)).write.parquet(f"{path}/verdict")
+    verdict = spark.read.parquet(f"{path}/verdict")
+    replace_facts(star.fact(unpivot_rows(raw, detect.layout(verdict), tables)), f"{path}/fact")
+    star.dim_file(raw, manifest).write.parquet(f"{path}/file")
+    star.dim_date(verdict.filter("is_date")).write.parquet(f"{path}/date")
+    star.dim_column(read_facts(spark, f"{path}/fact"), verdict).write.parquet(f"{path}/column")
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest of the sales files."""
     return table(spark, folder, "nation").select(

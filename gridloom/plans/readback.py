@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.operators import layers, reshape, star
+from gridloom.operators import layers, reshape
 from gridloom.operators.grid import sub_table_name
 from gridloom.plans import inputs, starring
 from gridloom.plans.inputs import SALES_SQL
-from gridloom.sources.sinks import read_facts, replace_facts
+from gridloom.sources.sinks import read_facts
 
 _LABEL_SQL = "['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(any_month)] || '/' || strftime(any_month, '%y')"
 
@@ -70,12 +70,9 @@ from fact join buyer using (file_id, sheet, line_no) where any_month is not null
 def star_of_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Stored facts and columns of the part sheets: one schema per brand, no date column with values."""
 
-    def write(path: str) -> None:
-        _, rows = starring.load(*parts(spark, folder))
-        replace_facts(star.fact(rows), f"{path}/fact")
-        star.dim_column(rows).write.parquet(f"{path}/column")
-
-    path = inputs.stored(spark, folder, "parts_star", write)
+    path = inputs.stored(
+        spark, folder, "parts_star", lambda path: inputs.write_star(spark, path, *parts(spark, folder), inputs.files(spark, folder))
+    )
     return read_facts(spark, f"{path}/fact"), spark.read.parquet(f"{path}/column")
 
 

@@ -78,7 +78,8 @@ def _part_header(brand):
 
 
 def dim_column(spark: SparkSession, folder: str) -> DataFrame:
-    return star.dim_column(load(*inputs.layers_of(spark, folder, "parts", _part_rows))[1])
+    verdict, rows = load(*inputs.layers_of(spark, folder, "parts", _part_rows))
+    return star.dim_column(star.fact(rows), verdict)
 
 
 DIM_COLUMN_SQL = """

@@ -13,6 +13,7 @@ LINE = [*SHEET, "line_no"]
 
 # Stored layers. Hashes are hex text, which partition discovery could take for
 # numbers, so layers are always read with their schema.
+GRID = "file_id bigint, sheet string, row_no bigint, cells array<struct<kind:string,num:double,txt:string>>"
 RAW = "file_id bigint, table_name string, line_no bigint, cells array<struct<kind:string,num:double,txt:string>>, schema_hash string"
 FACTS = (
     "load_no bigint, file_id bigint, date_key int, column_key string, sheet string, line_no bigint, "
