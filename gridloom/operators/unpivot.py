@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from itertools import groupby
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -90,6 +91,10 @@ def _parsed(name: str) -> date | None:
         return None
 
 
+def quoted(names: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in names]
+
+
 def unpivot_dates(
     df: DataFrame,
     headers: Sequence[str] | None = None,
@@ -110,18 +115,29 @@ def unpivot_dates(
         dated = [h for h in dated if known[h] and (not start or known[h] >= start) and (not end or known[h] <= end)]
     types = {df.schema[h].dataType for h in dated}
     values = [F.col(f"`{h}`") if len(types) == 1 else F.col(f"`{h}`").cast("string").alias(h) for h in dated]
-    narrow = df.select(*[F.col(f"`{c}`") for c in fixed], *values)
-    long = narrow.unpivot([F.col(f"`{c}`") for c in fixed], [F.col(f"`{h}`") for h in dated], "header", value)
+    narrow = df.select(*quoted(fixed), *values)
+    long = narrow.unpivot(quoted(fixed), quoted(dated), "header", value)
     kept = long.filter(F.col(value).isNotNull())
     if isinstance(kept.schema[value].dataType, T.StringType):
         kept = kept.filter(F.col(value) != "")
-    return kept.withColumn("date", header_date(F.col("header")))
+    # Each header is parsed once; the list has one row per column, so it is safe to broadcast.
+    names = df.sparkSession.createDataFrame([(h,) for h in dated], "header string")
+    dates = names.select("header", header_date(F.col("header")).alias("date"))
+    return kept.join(F.broadcast(dates), "header").select(*quoted(fixed), "header", value, "date")
+
+
+def _cells(values: Column, dtype: T.DataType) -> Column:
+    return F.transform(values, lambda v: cell_of(v, dtype))
 
 
 def rows_of_wide(df: DataFrame, file_id: Column, table_name: Column, line_no: Column, columns: Sequence[str]) -> DataFrame:
     """Raw rows of a wide DataFrame; its column names are the header. A projection, no shuffle."""
     header = F.array(*[F.lit(c) for c in columns])
-    cells = F.array(*[cell_of(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns])
+    # One lambda per stretch of equally typed columns keeps the generated code short on wide sheets.
+    parts = []
+    for dtype, names in groupby(columns, key=lambda c: df.schema[c].dataType):
+        parts.append(_cells(F.array(*[F.col(f"`{c}`") for c in names]), dtype))
+    cells = F.concat(*parts)
     return df.select(
         file_id.cast("bigint").alias("file_id"), table_name.alias("table_name"), line_no.cast("bigint").alias("line_no"),
         fingerprint(header).alias("schema_hash"), cells.alias("cells"),

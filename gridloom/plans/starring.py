@@ -128,13 +128,13 @@ where txt is not null or num is not null
 def sub_header_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Sales sheets in which every 50th line repeats the header: those rows stay as text facts."""
     raw, tables = inputs.sales(spark, folder)
-    header = tables.select("schema_hash", "header").distinct().limit(1)
+    header = tables.select("schema_hash", "header").distinct()
     repeated = raw.filter(F.col("line_no") % 50 == 0).select(*TABLE, F.lit(1_000_000).cast("bigint").alias("_add"), "line_no", "schema_hash")
     as_cells = F.transform(
         "header",
         lambda h: F.struct(F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), h.alias("txt")),
     )
-    extra = repeated.join(F.broadcast(header), "schema_hash").select(
+    extra = repeated.join(header, "schema_hash").select(
         *TABLE, (F.col("line_no") + F.col("_add")).alias("line_no"), "schema_hash", as_cells.alias("cells")
     )
     f = load(raw.unionByName(extra), tables)[1]
