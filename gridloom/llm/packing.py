@@ -66,15 +66,17 @@ def pieces(df: DataFrame, tokenizer: str, cut: str | None, end_id: int, size: in
 def knapsack(prices: np.ndarray) -> tuple[float, np.ndarray]:
     """The dearest pattern that fits: prices[c] for a piece of c + 1 steps, capacity len(prices) steps."""
     n = len(prices)
-    best, last = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+    best, last = np.zeros(n + 1), np.full(n + 1, -1)  # -1: a step stays empty
     for room in range(1, n + 1):
         value = best[room - 1 :: -1][:room] + prices[:room]
-        last[room] = int(np.argmax(value))
-        best[room] = value[last[room]]
+        c = int(np.argmax(value))
+        best[room] = max(best[room - 1], value[c])
+        last[room] = c if value[c] > best[room - 1] + 1e-12 else -1
     pattern, room = np.zeros(n, np.int64), n
-    while room > 0 and best[room] > 0:
-        pattern[last[room]] += 1
-        room -= int(last[room]) + 1
+    while room > 0:
+        if last[room] >= 0:
+            pattern[last[room]] += 1
+        room -= int(last[room]) + 1 if last[room] >= 0 else 1
     return float(best[n]), pattern
 
 
@@ -88,16 +90,21 @@ def solve(demand: np.ndarray, gap: float = 1e-4, rounds: int = 3000) -> list[tup
     n = len(demand)
     basis = np.diag(n // np.arange(1, n + 1)).astype(float)  # column j: only pieces of class j
     inverse = np.diag(1 / np.diag(basis))
-    used = inverse @ demand
+    used, cost = inverse @ demand, np.ones(n)
     for _ in range(rounds):
-        prices = inverse.sum(axis=0)
-        value, pattern = knapsack(np.maximum(prices, 0))
-        if value <= 1 + gap:
-            break
+        prices = cost @ inverse
+        low = int(np.argmin(prices))
+        if prices[low] < -1e-9:  # serving more of this class than there is costs nothing
+            pattern, price = -np.eye(n)[low], 0.0
+        else:
+            value, pattern = knapsack(prices)
+            price = 1.0
+            if value <= 1 + gap:
+                break
         way = inverse @ pattern
         ratios = np.where(way > 1e-9, used / np.where(way > 1e-9, way, 1), np.inf)
         leaves = int(np.argmin(ratios))
-        basis[:, leaves] = pattern
+        basis[:, leaves], cost[leaves] = pattern, price
         used -= way * ratios[leaves]
         used[leaves] = ratios[leaves]
         row = inverse[leaves] / way[leaves]
@@ -106,7 +113,7 @@ def solve(demand: np.ndarray, gap: float = 1e-4, rounds: int = 3000) -> list[tup
     left, out = demand.astype(np.int64).copy(), []
     for j in np.argsort(-used, kind="stable"):
         pattern = basis[:, j].round().astype(np.int64)
-        held = pattern > 0
+        held = pattern > 0 if cost[j] else np.zeros(n, bool)
         times = int(min(np.floor(max(used[j], 0) + 1e-9), (left[held] // pattern[held]).min())) if held.any() else 0
         if times:
             out.append((pattern, times))
