@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,14 +29,32 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to Python workers, once for each application; needed where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridloom_sent", False):
+        return
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for path in sorted(here.rglob("*.py")):
+            z.write(path, path.relative_to(here.parent).as_posix())
+    target = Path(tempfile.mkdtemp(prefix="gridloom-")) / "gridloom.zip"  # the driver's own; Spark serves it to executors
+    target.write_bytes(packed.getvalue())
+    sc.addPyFile(str(target))
+    sc._gridloom_sent = True
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediates, below the cluster's checkpoint folder.
 
-    Without that setting (tests, one machine) it is a temporary folder.
+    Where the session names none, a temporary folder will do on one machine;
+    on a cluster executors would each write to their own, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        import uuid
-
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix=f"{name}-") + "/data"
