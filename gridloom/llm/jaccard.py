@@ -11,7 +11,8 @@ their union. Exact, in these steps; no step sees all pairs of a group:
    shingles' lists are spread over several buckets.
 3. Pairs from the lists: each list joins its members to one of them first.
    Whatever these links leave apart is then paired across, where sizes and
-   positions in the prefixes allow a link.
+   positions in the prefixes allow a link: with a few members of each component
+   first, and at last with all that still are apart.
 4. Bounds. Each class has a parity bitmap; bits in which two differ bound the
    sets' difference from below and drop most pairs.
 5. Search. Sets of the remaining pairs meet in blocks of one query and a bounded
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrow import blocks, partitions, stored, text_of
-from gridloom.llm.words import GRAPHIC, shingles, words
+from gridloom.llm.words import GRAPHIC, mix, shingles, words
 
 SKETCH = 1 << 21  # counters; a fixed size
 PIECE = 1 << 15  # counters in a row of the sketch
@@ -49,6 +50,7 @@ SALTS = 8  # buckets that a frequent shingle's list is spread over
 BUCKET = 2_000_000  # prefix entries that a bucket should hold
 CHUNK = 2_000  # members in a row of a list
 BLOCK = 255  # sets that a query meets at a time
+PARTNERS = 12  # of a component, that one member meets before it meets the rest
 WANTED = 1 << 24  # bits that tell which documents' sets to send
 MU = 0.02  # DivideSkip's weight of a probe against a merge
 U = np.uint64
@@ -249,8 +251,12 @@ def first_pairs(table: DataFrame, percent: int) -> DataFrame:
     return two.unionByName(star).distinct()
 
 
-def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, percent: int, part: int = 1000) -> DataFrame:
-    """Distinct pairs of members of one list that no link has joined yet, where size and position allow a link."""
+def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, percent: int, partners: int | None, part: int = 1000) -> DataFrame:
+    """Distinct pairs of members of one list that no link has joined yet, where size and position allow a link.
+
+    partners: of each component that a list holds apart, a member outside it
+    meets so many at first; None for all.
+    """
     each = table.filter("list is not null").select("list", F.explode(F.arrays_zip("cls", "n", "pos")).alias("m")).select("list", "m.cls", "m.n", "m.pos")
     each = each.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = each.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("list", F.ceil(F.col("k") / part).cast("int").alias("parts"))
@@ -262,16 +268,19 @@ def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, perc
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, g in runs(batches, ["list", "i", "j"]):
             _, i, j = key
-            g = g.sort_values("cls")
             cls, n, pos, com, own = (g[c].to_numpy() for c in ("cls", "n", "pos", "component", "own"))
+            _, com, sizes = np.unique(com, return_inverse=True, return_counts=True)
+            rank = sizes[com] * (len(sizes) + 1) + com  # members of smaller components look for larger ones
             out = []
-            for x in range(len(cls) - 1):
-                y = np.arange(x + 1, len(cls))
-                y = y[(com[y] != com[x]) & (cls[y] != cls[x])]
+            for x in range(len(cls)):
+                y = np.flatnonzero((rank > rank[x]) & (com != com[x]) & may_link(n[x], pos[x], n, pos, percent))
                 y = y[own[y] != own[x]] if i != j else y
-                y = y[may_link(n[x], pos[x], n[y], pos[y], percent)]
+                if partners is not None and len(y) > partners:
+                    y = y[np.lexsort((mix((cls[y] ^ cls[x]).view(U)), com[y]))]
+                    new = np.flatnonzero(np.append(True, com[y][1:] != com[y][:-1]))
+                    y = y[np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < partners]
                 if len(y):
-                    out.append(pd.DataFrame({"a": cls[x], "b": cls[y]}))
+                    out.append(pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y])}))
             if out:
                 yield pd.concat(out)
 
@@ -424,10 +433,14 @@ def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame
     packed = lists(documents, often, buckets, size, percent)
     found = stored(members(packed, percent), "lists")
     before = stored(first_pairs(found, percent), "pairs")
-    links1 = stored(links(documents, known, before, size, percent), "found")
-    later = stored(later_pairs(found, connected(links1), before, percent), "pairs")
-    links2 = links(documents, known, later, size, percent)
-    joined = connected(links1.unionByName(links2)) if not later.isEmpty() else connected(links1)
+    made = stored(links(documents, known, before, size, percent), "found")
+    joined = connected(made)
+    for partners in (PARTNERS, None):
+        later = stored(later_pairs(found, joined, before, percent, partners), "pairs")
+        if later.isEmpty():
+            break
+        made = stored(made.unionByName(links(documents, known, later, size, percent)), "found")
+        joined, before = connected(made), before.unionByName(later)
     groups = docs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")).join(joined, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
     smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = groups.join(smallest, "component").select("cls", "component_id")
