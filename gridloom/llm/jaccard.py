@@ -9,10 +9,10 @@ their union. Exact, in these steps; no step sees all pairs of a group:
 2. Short lists. Linked sets share a shingle of their prefixes in that order, so
    prefixes alone are dealt out, packed in numpy by buckets of shingles. Frequent
    shingles' lists are spread over several buckets.
-3. Pairs from the lists: each list joins its members to one of them first.
-   Whatever these links leave apart is then paired across, where sizes and
-   positions in the prefixes allow a link: with a few members of each component
-   first, and at last with all that still are apart.
+3. Pairs from the lists: short lists give all pairs whose sizes and positions in
+   the prefixes allow a link; each longer list joins its members to one of them.
+   Whatever these links leave apart is then paired across: with a few members of
+   each component first, and at last with all that still are apart.
 4. Bounds. Each class has a parity bitmap; bits in which two differ bound the
    sets' difference from below and drop most pairs.
 5. Search. Sets of the remaining pairs meet in blocks of one query and a bounded
@@ -44,13 +44,14 @@ from pyspark.sql import functions as F
 from gridloom.llm.arrow import blocks, partitions, stored, text_of
 from gridloom.llm.words import GRAPHIC, mix, shingles, words
 
-SKETCH = 1 << 21  # counters; a fixed size
-PIECE = 1 << 15  # counters in a row of the sketch
+SKETCH = 1 << 23  # counters; a fixed size
+PIECE = 1 << 17  # counters in a row of the sketch
 SALTS = 8  # buckets that a frequent shingle's list is spread over
 BUCKET = 2_000_000  # prefix entries that a bucket should hold
+DIRECT = 8  # lists of so many members give their pairs at once
 CHUNK = 2_000  # members in a row of a list
 BLOCK = 255  # sets that a query meets at a time
-PARTNERS = 12  # of a component, that one member meets before it meets the rest
+PARTNERS = 4  # of a component, that one member meets before it meets the rest
 WANTED = 1 << 24  # bits that tell which documents' sets to send
 MU = 0.02  # DivideSkip's weight of a probe against a merge
 U = np.uint64
@@ -77,16 +78,19 @@ def class_of(signature: bytes) -> int:
 def parity(own: np.ndarray) -> bytes:
     """Bit j: whether an odd number of shingles falls on it. About a bit for each shingle, 256 at least."""
     bits = max(8, int(len(own) - 1).bit_length())
-    count = np.bincount((own >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    count = np.bincount((own & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """At least so many shingles are in one set only. The larger bitmap is folded to the smaller's size."""
-    x, y = (np.unpackbits(np.frombuffer(v, np.uint8)) for v in ((a, b) if len(a) <= len(b) else (b, a)))
-    if len(x) < len(y):
-        y = y.reshape(len(x), -1).sum(axis=1).astype(np.uint8) & 1
-    return int((x ^ y).sum())
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """At least so many shingles are in one set only, for each pair of bitmaps. The larger is folded to the smaller's size."""
+    out, sizes = np.zeros(len(a), np.int64), np.array([[len(x), len(y)] for x, y in zip(a, b)]).reshape(-1, 2)
+    for m, n in np.unique(sizes, axis=0):
+        rows = np.flatnonzero((sizes == (m, n)).all(axis=1))
+        x, y = (np.frombuffer(b"".join([v[r] for r in rows]), np.uint8).reshape(len(rows), -1) for v in (a, b))
+        x, y = (np.bitwise_xor.reduce(v.reshape(len(rows), -1, min(m, n)), axis=1) for v in (x, y))
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
 
 
 def needed(n: int, m: int, percent: int) -> int:
@@ -107,11 +111,11 @@ def classes(documents: DataFrame, size: int) -> DataFrame:
                 n[i], signature[i], cls[i], bitmap[i] = len(own), sig, class_of(sig), parity(own)
                 made.append(own)
             if made:
-                sketch += np.bincount((np.concatenate(made) % U(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                np.add.at(sketch, (np.concatenate(made) % U(SKETCH)).astype(np.int64), 1)
             k = block.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), block.column("doc_id"), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(cls, pa.int64()), pa.array(bitmap, pa.binary())], names)
         if sketch.any():
-            small = np.minimum(sketch, 65535).astype("<u2")
+            small = np.minimum(sketch, 255).astype("u1")
             parts = [small[i : i + PIECE].tobytes() for i in range(0, SKETCH, PIECE)]
             k = len(parts)
             none = pa.array([None] * k, pa.int64())
@@ -126,13 +130,13 @@ def frequent(table: DataFrame) -> np.ndarray:
     """Bits of the sketch whose count stands out, as one fixed-size bitmap."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, "<u2").astype(np.int64) for b in pdf["signature"])
+        total = sum(np.frombuffer(b, "u1").astype(np.int64) for b in pdf["signature"])
         return pd.DataFrame({"piece": [int(pdf["n"].iloc[0])], "total": [int(total.sum())], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
     added = table.filter("kind = 1").select("n", "signature").groupBy("n").applyInPandas(add, "piece long, total long, counts binary")
     added = stored(added, "sketch")
     mean = (added.agg(F.sum("total")).first()[0] or 0) / SKETCH
-    limit = mean + 8 * math.sqrt(mean) + 30
+    limit = mean + 8 * math.sqrt(mean) + 10
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +204,7 @@ def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent
 
 
 def members(packed: DataFrame, percent: int) -> DataFrame:
-    """Lists of three members or more and all parts of spread ones, in rows of bounded size; pairs of lists of two (cls, other), without a list."""
+    """Lists of more than DIRECT members and all parts of spread ones, in rows of bounded size; pairs of shorter lists (cls, other), without a list."""
 
     def unpack(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
@@ -216,12 +220,17 @@ def members(packed: DataFrame, percent: int) -> DataFrame:
         size = np.diff(np.append(first, len(h)))
         base, salt = divmod(bucket, SALTS + 1)
         rows, known = [], {}
-        two = first[size == 2] if not salt else first[:0]
-        two = two[may_link(n[two], pos[two], n[two + 1], pos[two + 1], percent)]
-        found = np.unique(np.column_stack([cls[two], cls[two + 1]]), axis=0)
+        found = [np.zeros((0, 2), np.int64)]
+        for k in range(2, 1 + DIRECT if not salt else 2):
+            own = first[size == k]
+            x, y = (own[:, None] + i for i in np.triu_indices(k, 1))
+            x, y = x.ravel(), y.ravel()
+            fits = may_link(n[x], pos[x], n[y], pos[y], percent)
+            found.append(np.unique(np.column_stack([cls[x[fits]], cls[y[fits]]]), axis=0))
+        found = np.unique(np.concatenate(found), axis=0)
         for i in range(0, len(found), CHUNK):
             rows.append((None, True, found[i : i + CHUNK, 0], [], [], found[i : i + CHUNK, 1]))
-        many = size >= (1 if salt else 3)
+        many = size >= (1 if salt else DIRECT + 1)
         for a, k in zip(first[many].tolist(), size[many].tolist()):
             same = cls[a : a + k].tobytes()
             if not salt and k <= CHUNK:
@@ -238,7 +247,7 @@ def members(packed: DataFrame, percent: int) -> DataFrame:
 
 
 def first_pairs(table: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b: those of lists of two, and each longer list's members with its smallest."""
+    """Distinct pairs (a, b), a < b: those of short lists, and each longer list's members with its smallest."""
     two = table.filter("list is null").select(F.explode(F.arrays_zip("cls", "other")).alias("p")).select(F.col("p.cls").alias("a"), F.col("p.other").alias("b"))
     some = table.filter("list is not null")
     head = F.struct(F.col("cls")[0].alias("cls"), F.col("n")[0].alias("n"))
@@ -266,6 +275,7 @@ def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, perc
     spread = spread.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cls", "n", "pos", "component")
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[tuple[int, int]] = set()  # pairs of this task so far, which other lists hold as well
         for key, g in runs(batches, ["list", "i", "j"]):
             _, i, j = key
             cls, n, pos, com, own = (g[c].to_numpy() for c in ("cls", "n", "pos", "component", "own"))
@@ -281,8 +291,10 @@ def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, perc
                     y = y[np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < partners]
                 if len(y):
                     out.append(pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y])}))
-            if out:
-                yield pd.concat(out)
+            pairs = set().union(*(zip(o["a"].tolist(), o["b"].tolist()) for o in out)) - told
+            told = told | pairs if len(told) < 500_000 else pairs
+            if pairs:
+                yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
     keys = ["list", "i", "j"]
     made = spread.repartition(partitions(table.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(cross, "a long, b long")
@@ -361,7 +373,8 @@ def links(documents: DataFrame, known: DataFrame, pairs: DataFrame, size: int, p
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [apart(x, y) <= n + m - 2 * needed(n, m, percent) for n, m, x, y in zip(b["n"], b["m"], b["x"], b["y"])]
+            total = b["n"].to_numpy() + b["m"].to_numpy()
+            keep = apart(b["x"].tolist(), b["y"].tolist()) <= total - 2 * -(-percent * total // (100 + percent))
             yield b.loc[keep, ["a", "b"]]
 
     ends = known.select(F.col("cls").alias("a"), "n", F.col("bitmap").alias("x")), known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
