@@ -62,6 +62,14 @@ def upsert_tables(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select(*TABLE), TABLE, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_versions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Headers by (file, table, schema): a superseded header stays, with ``is_current`` false, and rows of its time can be named by it."""
+    key = [*TABLE, "schema_hash"]
+    kept = old.join(new.select(*key), key, "left_anti").join(new.select(*TABLE).distinct().withColumn("_new", F.lit(True)), TABLE, "left")
+    kept = kept.withColumn("is_current", F.when(F.col("_new"), F.lit(False)).otherwise(F.coalesce("is_current", F.lit(True)) if "is_current" in old.columns else F.lit(True)))
+    return kept.drop("_new").unionByName(new.withColumn("is_current", F.lit(True)), allowMissingColumns=True)
+
+
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Audit rows where a known table's hash differs: columns added and removed (both may be empty)."""
     before = old.select(*TABLE, F.col("schema_hash").alias("old_hash"), F.col("header").alias("_old"))

@@ -141,16 +141,19 @@ def columns_of(tables: DataFrame, keys: list[str]) -> DataFrame:
 def with_columns(raw: DataFrame, tables: DataFrame, block: int = BLOCK) -> DataFrame:
     """Raw rows with the column descriptors of their own table, as array ``columns``.
 
-    A table's descriptors are repeated for each block of its lines and joined on
-    (table, block), so a table of any length spreads over many tasks.
+    ``tables`` may hold several headers of a table (``catalog.upsert_versions``):
+    a row gets the one of its own schema. Descriptors are repeated for each block
+    of lines and joined on (table, schema, block), so a table of any length
+    spreads over many tasks.
     """
+    version = [*TABLE, "schema_hash"]
     layout = (
-        columns_of(tables.filter("n_rows >= 1"), [*TABLE, "n_rows"])
-        .groupBy(*TABLE, "n_rows")
+        columns_of(tables.filter("n_rows >= 1"), [*version, "n_rows"])
+        .groupBy(*version, "n_rows")
         .agg(F.array_sort(F.collect_list(F.struct("col_no", "name", "next_same"))).alias("columns"))
-        .select(*TABLE, "columns", F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(F.col("n_rows") + 1, block))).alias("_blk"))
+        .select(*version, "columns", F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(F.col("n_rows") + 1, block))).alias("_blk"))
     )
-    return raw.withColumn("_blk", block_of("line_no", block)).join(layout, [*TABLE, "_blk"]).drop("_blk")
+    return raw.withColumn("_blk", block_of("line_no", block)).join(layout, [*version, "_blk"]).drop("_blk")
 
 
 def keyed_cells(raw: DataFrame, tables: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def raw_of_schema(raw: DataFrame, schema_hash: str) -> DataFrame:
     return raw.filter(match).orderBy("line_no", "file_id", "table_name")
 
 
-def raw_of_table(raw: DataFrame, file_id: int, table_name: str, limit: int | None = 1000) -> DataFrame:
-    """Preview of one table by line."""
+def raw_of_table(raw: DataFrame, file_id: int, table_name: str, limit: int | None = None) -> DataFrame:
+    """Rows of one table by line; a preview gives its own limit."""
     rows = raw.filter((F.col("file_id") == file_id) & (F.col("table_name") == table_name)).orderBy("line_no")
     return rows if limit is None else rows.limit(limit)

@@ -27,10 +27,13 @@ def value_of_fact() -> Column:
 def named_values(fact: DataFrame, columns: DataFrame, dates: str = "name") -> DataFrame:
     """Facts with their column's name and text value.
 
-    ``dates='name'`` tests the header again; ``'verified'`` believes the load.
+    ``dates='name'`` tests the header again; ``'verified'`` believes the load: its
+    verdict in ``columns`` (``dim_column(..., keep_verdict=True)``), which also
+    holds for accepted headers of impossible dates.
     """
-    joined = fact.join(columns.select("column_key", F.col("original_name").alias("name")), "column_key")
-    is_date = is_date_header(F.col("name"), trimmed=False) if dates == "name" else F.col("date_key").isNotNull()
+    named = columns.select("column_key", F.col("original_name").alias("name"), *(["is_date"] if dates != "name" else []))
+    joined = fact.join(named, "column_key")
+    is_date = is_date_header(F.col("name"), trimmed=False) if dates == "name" else F.col("is_date")
     return joined.select(*LINE, "load_no", "name", value_of_fact().alias("value"), is_date.alias("is_date"))
 
 
@@ -150,14 +153,16 @@ def aligned(values: DataFrame) -> DataFrame:
     """Corrected rows of sub-tables with their row ``position``: ``file_id, sheet, table_no, position, …``.
 
     Positions count corrected rows, so they are a running sum over lines of each
-    sub-table, taken in blocks of lines.
+    sub-table, taken in blocks of lines. A line of a sub-table without date
+    columns is one row, without label and value.
     """
-    rows = lines(values).withColumn("_n", F.size("dated")).filter("_n > 0")
+    kinds = values.groupBy(*SHEET).agg(F.bool_or("is_date").alias("_inverted"))
+    rows = lines(values).join(kinds, SHEET).withColumn("_n", F.when(F.col("_inverted"), F.size("dated")).otherwise(1)).filter("_n > 0")
     placed = running_sum(rows, SHEET, "line_no", F.col("_n"), "_upto")
-    cells = placed.select(*LINE, "entity", (F.col("_upto") - F.col("_n") + 1).alias("_first"), F.posexplode("dated").alias("_i", "_c"))
+    cells = placed.select(*LINE, "entity", (F.col("_upto") - F.col("_n") + 1).alias("_first"), F.posexplode_outer("dated").alias("_i", "_c"))
     return cells.select(
         "file_id", base_sheet(F.col("sheet")).alias("sheet"), parse_sub_table(F.col("sheet"))[1].alias("table_no"),
-        (F.col("_first") + F.col("_i")).alias("position"), "entity",
+        (F.col("_first") + F.coalesce("_i", F.lit(0))).alias("position"), "entity",
         date_label(F.col("_c.name")).alias("label"), F.col("_c.value").alias("value"),
     )
 
@@ -166,8 +171,11 @@ def side_by_side(rows: DataFrame, columns: Mapping[int, Sequence[str]], date: st
     """Sub-tables next to each other by row position, shorter ones padded with ''.
 
     ``columns`` names the entity columns of each sub-table, so no job looks for
-    pivot values; every output cell is a plain aggregate.
+    pivot values; every output cell is a plain aggregate. A sub-table that it
+    doesn't name is an error.
     """
+    known = F.col("table_no").isin(list(columns))
+    rows = rows.withColumn("table_no", F.when(known, F.col("table_no")).otherwise(F.raise_error(F.concat(F.lit("no columns given for sub-table "), F.coalesce(F.col("table_no").cast("string"), F.lit("null")))).cast("int")))
 
     def of(table: int, expr: Column, name: str) -> Column:
         return F.coalesce(F.max(F.when(F.col("table_no") == table, expr)), F.lit("")).alias(f"t{table}_{name}")

@@ -6,26 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 1000  # any other key holds less than 1/1000 of the rows
-HOT_ROWS = 5_000_000
-WAYS = 64
+HOT_ROWS = 5_000_000  # rows that one task should meet of a key
 
 
 def join_spread(
-    rows: DataFrame, info: DataFrame, counts: DataFrame, key: str, spread: Sequence[str], hot_rows: int = HOT_ROWS, ways: int = WAYS
+    rows: DataFrame, info: DataFrame, counts: DataFrame, key: str, spread: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Inner join on ``key``; the largest keys are spread over ``ways`` copies of their information.
+    """Inner join on ``key``; a key of n rows is spread over n / ``hot_rows`` copies of its information.
 
-    ``counts`` is ``(key, n)``. At most ``HOT_KEYS`` keys are spread, so the list of
-    them has a fixed bound and may be broadcast.
+    ``counts`` is ``(key, n)``. Keys that are spread have at least ``hot_rows`` rows
+    each, so a trillion rows have 200,000 of them at most: few enough to broadcast.
     """
-    hot = (
-        counts.filter(F.col("n") >= hot_rows)
-        .orderBy(F.desc("n"), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(ways).alias("_ways"))
-    )
-    hot = F.broadcast(hot)
+    hot = F.broadcast(counts.filter(F.col("n") > hot_rows).select(key, F.ceil(F.col("n") / hot_rows).alias("_ways")))
     salted = rows.join(hot, key, "left").withColumn(
         "_way", F.when(F.col("_ways").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_ways"))).otherwise(F.lit(0).cast("bigint"))
     )

@@ -34,10 +34,11 @@ def dim_date(headers: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
-def dim_column(fact: DataFrame, verdict: DataFrame) -> DataFrame:
+def dim_column(fact: DataFrame, verdict: DataFrame, keep_verdict: bool = False) -> DataFrame:
     """Columns with at least one value. The first value decides the type of a fixed column; dates are numbers.
 
-    Only narrow fact columns are read, and ``min_by`` combines before the shuffle.
+    ``keep_verdict`` adds the load's ``is_date``. Only narrow fact columns are read,
+    and ``min_by`` combines before the shuffle.
     """
     order = F.struct("line_no", "file_id", "sheet")
     used = fact.groupBy("column_key").agg(F.min_by(F.col("value_text").isNotNull(), order).alias("_is_text"))
@@ -46,6 +47,7 @@ def dim_column(fact: DataFrame, verdict: DataFrame) -> DataFrame:
     return known.join(used, "column_key").select(
         "column_key", "schema_hash", F.col("name").alias("original_name"), normalized_name(F.col("name")).alias("normalized_name"),
         F.when(F.col("_is_text") & ~F.col("is_date"), "text").otherwise("number").alias("dtype"),
+        *(["is_date"] if keep_verdict else []),
     )
 
 

@@ -115,7 +115,7 @@ def write_star(spark: SparkSession, path: str, raw: DataFrame, tables: DataFrame
     replace_facts(star.fact(unpivot_rows(raw, detect.layout(verdict), tables)), f"{path}/fact")
     star.dim_file(raw, manifest).write.parquet(f"{path}/file")
     star.dim_date(verdict.filter("is_date")).write.parquet(f"{path}/date")
-    star.dim_column(read_facts(spark, f"{path}/fact"), verdict).write.parquet(f"{path}/column")
+    star.dim_column(read_facts(spark, f"{path}/fact"), verdict, keep_verdict=True).write.parquet(f"{path}/column")
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:

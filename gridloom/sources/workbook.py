@@ -126,7 +126,7 @@ class _Book:
                         at = _column(c.get("r") or "") or len(cells) + 1
                         cells += [_BLANK] * (at - 1 - len(cells))
                         cells.append(self._cell(c))
-                    yield (cells + [_BLANK] * (width - len(cells)))[: width or None]
+                    yield cells + [_BLANK] * (width - len(cells))  # the declared size may be wrong: it pads, it never cuts
                     count = number
                     e.clear()
 

@@ -262,7 +262,7 @@ def test_catalog_and_audit(spark):
 def test_spread_join_is_a_plain_join(spark, hot_rows):
     rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(600)], "k string, i int")
     info = rows.select("k").distinct().withColumn("x", F.length("k"))
-    out = skew.join_spread(rows, info, rows.groupBy("k").agg(F.count("*").alias("n")), "k", ["i"], hot_rows, ways=8)
+    out = skew.join_spread(rows, info, rows.groupBy("k").agg(F.count("*").alias("n")), "k", ["i"], hot_rows)
     assert sorted(map(tuple, out.select("k", "i", "x").collect())) == sorted((r.k, r.i, len(r.k)) for r in rows.collect())
 
 
