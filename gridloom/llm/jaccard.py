@@ -12,7 +12,8 @@ their union. Exact, in these steps; no step sees all pairs of a group:
 3. Pairs from the lists: short lists give all pairs whose sizes and positions in
    the prefixes allow a link; each longer list joins its members to one of them.
    Whatever these links leave apart is then paired across: with a few members of
-   each component first, and at last with all that still are apart.
+   each component first, and at last with all that still are apart. Members
+   carry a folded bitmap, so pairs that it rules out are never made.
 4. Bounds. Each class has a parity bitmap; bits in which two differ bound the
    sets' difference from below and drop most pairs.
 5. Search. Sets of the remaining pairs meet in blocks of one query and a bounded
@@ -52,6 +53,7 @@ DIRECT = 8  # lists of so many members give their pairs at once
 CHUNK = 2_000  # members in a row of a list
 BLOCK = 255  # sets that a query meets at a time
 PARTNERS = 4  # of a component, that one member meets before it meets the rest
+BRIEF = 64  # bytes of the folded bitmaps that list members carry
 WANTED = 1 << 24  # bits that tell which documents' sets to send
 MU = 0.02  # DivideSkip's weight of a probe against a merge
 U = np.uint64
@@ -76,8 +78,8 @@ def class_of(signature: bytes) -> int:
 
 
 def parity(own: np.ndarray) -> bytes:
-    """Bit j: whether an odd number of shingles falls on it. About a bit for each shingle, 256 at least."""
-    bits = max(8, int(len(own) - 1).bit_length())
+    """Bit j: whether an odd number of shingles falls on it. About a bit for each shingle, 8 * BRIEF at least."""
+    bits = max((8 * BRIEF - 1).bit_length(), int(len(own) - 1).bit_length())
     count = np.bincount((own & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
@@ -93,6 +95,21 @@ def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def most_apart(total: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles in one set only, at most, of linked sets with so many together."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+def briefs(known: DataFrame) -> DataFrame:
+    """cls and its bitmap folded to BRIEF bytes: a bound of the same kind, weaker for large sets, of one size for all."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "brief": [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, BRIEF), axis=0).tobytes() for x in b["bitmap"]]})
+
+    return known.select("cls", "bitmap").mapInPandas(fold, "cls long, brief binary")
+
+
 def needed(n: int, m: int, percent: int) -> int:
     """Shingles that sets of n and m must share."""
     return -(-percent * (n + m) // (100 + percent))
@@ -260,8 +277,8 @@ def first_pairs(table: DataFrame, percent: int) -> DataFrame:
     return two.unionByName(star).distinct()
 
 
-def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, percent: int, partners: int | None, part: int = 1000) -> DataFrame:
-    """Distinct pairs of members of one list that no link has joined yet, where size and position allow a link.
+def later_pairs(table: DataFrame, components: DataFrame, known: DataFrame, before: DataFrame, percent: int, partners: int | None, part: int = 1000) -> DataFrame:
+    """Distinct pairs of members of one list that no link has joined yet, where sizes, positions and folded bitmaps allow a link.
 
     partners: of each component that a list holds apart, a member outside it
     meets so many at first; None for all.
@@ -269,22 +286,24 @@ def later_pairs(table: DataFrame, components: DataFrame, before: DataFrame, perc
     each = table.filter("list is not null").select("list", F.explode(F.arrays_zip("cls", "n", "pos")).alias("m")).select("list", "m.cls", "m.n", "m.pos")
     each = each.join(components, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     split = each.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).filter("lo != hi").select("list", F.ceil(F.col("k") / part).cast("int").alias("parts"))
-    open_ = each.join(split, "list").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    open_ = each.join(split, "list").join(briefs(known), "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     # Parts i and j of a list meet in the group (i, j).
     spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    spread = spread.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cls", "n", "pos", "component")
+    spread = spread.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cls", "n", "pos", "component", "brief")
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         told: set[tuple[int, int]] = set()  # pairs of this task so far, which other lists hold as well
         for key, g in runs(batches, ["list", "i", "j"]):
             _, i, j = key
             cls, n, pos, com, own = (g[c].to_numpy() for c in ("cls", "n", "pos", "component", "own"))
+            brief = np.frombuffer(b"".join(g["brief"]), np.uint64).reshape(len(cls), -1)
             _, com, sizes = np.unique(com, return_inverse=True, return_counts=True)
             rank = sizes[com] * (len(sizes) + 1) + com  # members of smaller components look for larger ones
             out = []
             for x in range(len(cls)):
                 y = np.flatnonzero((rank > rank[x]) & (com != com[x]) & may_link(n[x], pos[x], n, pos, percent))
                 y = y[own[y] != own[x]] if i != j else y
+                y = y[np.bitwise_count(brief[y] ^ brief[x]).sum(axis=1) <= most_apart(n[y].astype(np.int64) + n[x], percent)]
                 if partners is not None and len(y) > partners:
                     y = y[np.lexsort((mix((cls[y] ^ cls[x]).view(U)), com[y]))]
                     new = np.flatnonzero(np.append(True, com[y][1:] != com[y][:-1]))
@@ -374,7 +393,7 @@ def links(documents: DataFrame, known: DataFrame, pairs: DataFrame, size: int, p
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             total = b["n"].to_numpy() + b["m"].to_numpy()
-            keep = apart(b["x"].tolist(), b["y"].tolist()) <= total - 2 * -(-percent * total // (100 + percent))
+            keep = apart(b["x"].tolist(), b["y"].tolist()) <= most_apart(total, percent)
             yield b.loc[keep, ["a", "b"]]
 
     ends = known.select(F.col("cls").alias("a"), "n", F.col("bitmap").alias("x")), known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
@@ -449,7 +468,7 @@ def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame
     made = stored(links(documents, known, before, size, percent), "found")
     joined = connected(made)
     for partners in (PARTNERS, None):
-        later = stored(later_pairs(found, joined, before, percent, partners), "pairs")
+        later = stored(later_pairs(found, joined, known, before, percent, partners), "pairs")
         if later.isEmpty():
             break
         made = stored(made.unionByName(links(documents, known, later, size, percent)), "found")
