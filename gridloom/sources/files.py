@@ -28,13 +28,18 @@ def list_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = E
 
 
 def csv_cells(line: Column, sep: str = ";", numbers: bool = True) -> Column:
-    """Cells of one CSV line, of any width; quoted fields may hold the separator and doubled quotes."""
+    """Cells of one CSV line, of any width; quoted fields may hold the separator and doubled quotes.
+
+    A quoted field that isn't closed in its line, or that has text after its
+    closing quote, is an error: no text is lost silently.
+    """
     s = "\\" + sep
-    field = rf'(?:^|{s})(?:"[^"]*+(?:""[^"]*+)*+"|[^{s}]*+)'
-    raw = F.regexp_extract_all(line, F.lit(field), F.lit(0))
+    field = rf'{s}(?:"[^"]*+(?:""[^"]*+)*+"|[^{s}]*+)'
+    whole = F.concat(F.lit(sep), line)  # each field follows a separator, so an empty first one is found as the others are
+    raw = F.regexp_extract_all(whole, F.lit(field), F.lit(0))
 
-    def cell(token: Column, i: Column) -> Column:
-        body = F.when(i == 0, token).otherwise(F.substring(token, F.lit(2), F.length(token)))
+    def cell(token: Column) -> Column:
+        body = F.substring(token, F.lit(2), F.length(token))
         quoted = body.startswith('"')
         text = F.when(
             quoted, F.replace(F.substring(body, F.lit(2), F.length(body) - F.lit(2)), F.lit('""'), F.lit('"'))
@@ -46,7 +51,10 @@ def csv_cells(line: Column, sep: str = ";", numbers: bool = True) -> Column:
             text.alias("txt"),
         )
 
-    return F.when(line == "", F.array().cast(f"array<{CELL.simpleString()}>")).otherwise(F.transform(raw, cell))
+    unclosed = rf'\A{s}"[^"]*+(?:""[^"]*+)*+\z'
+    broken = line.contains('"') & ((F.array_join(raw, "") != whole) | F.exists(raw, lambda token: token.rlike(unclosed)))
+    problem = F.concat(F.lit("CSV line with an unclosed quoted field or text after one (read_csv_table reads line breaks in fields): "), F.substring(line, 1, 200))
+    return F.when(broken, F.raise_error(problem).cast(f"array<{CELL.simpleString()}>")).when(line == "", F.array().cast(f"array<{CELL.simpleString()}>")).otherwise(F.transform(raw, cell))
 
 
 def read_csv_grid(spark: SparkSession, path: str, sep: str = ";", numbers: bool = True, glob: str = "*.csv") -> DataFrame:
@@ -54,7 +62,7 @@ def read_csv_grid(spark: SparkSession, path: str, sep: str = ";", numbers: bool
 
     Files are read in splits, so a file of any size spreads over many tasks: rows
     are counted per split, and the counts before a split are added. Quoted fields
-    may not hold line breaks here; ``spark.read.csv(multiLine=True)`` reads those.
+    may not hold line breaks here, which is an error; ``read_csv_table`` reads those.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).select(
         F.col("_metadata.file_path").alias("path"),
