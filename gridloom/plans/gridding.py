@@ -243,11 +243,11 @@ _EXPORT_SCHEMA = "Cliente string, Saldo string, Data string, Valor string, file_
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Corrected sheets written as one CSV folder each, then read."""
     path = _exported(spark, folder, "csv")
-    return spark.read.schema(_EXPORT_SCHEMA).option("sep", ";").option("header", "true").csv(f"{path}/columns=0")
+    return spark.read.schema(_EXPORT_SCHEMA).option("sep", ";").option("header", "true").csv(f"{path}/columns=*")
 
 
 def parquet_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(_EXPORT_SCHEMA).parquet(f"{_exported(spark, folder, 'parquet')}/columns=0")
+    return spark.read.schema(_EXPORT_SCHEMA).parquet(f"{_exported(spark, folder, 'parquet')}/columns=*")
 
 
 EXPORTED_SQL = f"""select "Cliente", "Saldo", label as "Data", value as "Valor", file_id, sheet from ({CORRECTED_INVERTED_SQL})"""

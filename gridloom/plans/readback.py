@@ -202,17 +202,17 @@ def stack_side_by_side(spark: SparkSession, folder: str) -> DataFrame:
     fact, _, _, columns = inputs.star_of_sales(spark, folder)
     stacked = fact.withColumn("sheet", sub_table_name(F.col("sheet"), (F.col("line_no") % 3 + 1).cast("int")))
     aligned = reshape.aligned(reshape.named_values(stacked, columns))
-    return reshape.side_by_side(aligned, {i: ["Cliente"] for i in (1, 2, 3)})
+    return reshape.side_by_side(aligned, {i: ["Cliente", "Saldo"] for i in (1, 2, 3)})
 
 
 _SIDES = ", ".join(
-    f"""coalesce(max(c_name) filter (sub = {i}), '') as "t{i}_Cliente", coalesce(max(label) filter (sub = {i}), '') as "t{i}_Data",
+    f"""coalesce(max(c_name) filter (sub = {i}), '') as "t{i}_Cliente", coalesce(max(saldo) filter (sub = {i}), '') as "t{i}_Saldo", coalesce(max(label) filter (sub = {i}), '') as "t{i}_Data",
         coalesce(max(v) filter (sub = {i}), '') as "t{i}_Valor" """
     for i in (1, 2, 3)
 )
 STACK_SQL = f"""with {SALES_SQL},
 placed as (
-  select file_id, sheet, line_no % 3 + 1 as sub, c_name, {_LABEL_SQL} as label, cast(value_num as varchar) as v,
+  select file_id, sheet, line_no % 3 + 1 as sub, c_name, cast(c_acctbal as varchar) as saldo, {_LABEL_SQL} as label, cast(value_num as varchar) as v,
          row_number() over (partition by file_id, sheet, line_no % 3 order by line_no, name) as position
   from fact join buyer using (file_id, sheet, line_no) where any_month is not null)
 select file_id, sheet, position, {_SIDES} from placed group by file_id, sheet, position"""

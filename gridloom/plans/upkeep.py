@@ -136,14 +136,14 @@ def _listing(pages: DataFrame, changed) -> DataFrame:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """A manifest of two thirds of the pages, refreshed with a later listing of three quarters of them."""
+    """A manifest of two thirds of the pages, refreshed with a later listing of all others and three quarters of these."""
     pages = table(spark, folder, "pages")
     old = _listing(pages.filter("page_id % 3 <> 0"), F.lit(False)).withColumn(
         "page_id", F.substring_index("path", "#", -1).cast("bigint")
     )
     status = F.element_at(F.array(*[F.lit(s) for s in ("scanned", "ingested", "error", "pending")]), (F.col("page_id") % 4 + 1).cast("int"))
     known = old.select(F.col("page_id").alias("file_id"), "name", "path", "mtime", "size", status.alias("status"))
-    listing = _listing(pages.filter("page_id % 4 <> 0"), F.col("page_id") % 5 == 0)
+    listing = _listing(pages.filter("page_id % 4 <> 0 or page_id % 3 = 0"), F.col("page_id") % 5 == 0)
     return catalog.refresh(known, listing)
 
 
@@ -160,7 +160,7 @@ def manifest_upsert(spark: SparkSession, folder: str) -> DataFrame:
 _MANIFEST_SQL = """
 page as (
   select page_id, regexp_extract(url, '[^/]*$') as name, url || '#' || page_id as path, cast(1700000000 + page_id * 60 as bigint) as t,
-         length(html) as size, page_id % 3 <> 0 as old, page_id % 4 <> 0 as new, page_id % 5 = 0 as changed,
+         length(html) as size, page_id % 3 <> 0 as old, page_id % 4 <> 0 or page_id % 3 = 0 as new, page_id % 5 = 0 as changed,
          ['scanned', 'ingested', 'error', 'pending'][page_id % 4 + 1] as status from pages),
 manifest as (
   select page_id, name, path, case when new and changed then t + 1 else t end as mtime, size,
