@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.text import cell_of, cell_text
-from gridloom.operators import grid, reshape
+from gridloom.operators import catalog, grid, reshape
 from gridloom.operators.blocks import numbered
 from gridloom.plans import inputs, readback
 from gridloom.plans.inputs import table
@@ -177,7 +177,51 @@ from line"""
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    return sources.list_files(spark, folder).select("name", "size", F.col("mtime").isNotNull().alias("has_time"))
+    """Customers' names written as text files in a folder per nation, then listed: types and bytes of each folder's files."""
+
+    def write(path: str) -> None:
+        c = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+        c.hint("rebalance", "nation").write.partitionBy("nation").text(path)
+
+    found = sources.list_files(spark, inputs.stored(spark, folder, "named_files", write), extensions=("txt",))
+    nation = F.regexp_extract("path", "/nation=([0-9]+)/", 1).cast("bigint")
+    return found.groupBy(nation.alias("nation"), F.substring_index("name", ".", -1).alias("kind")).agg(
+        F.sum("size").alias("size"), (F.count("mtime") == F.count("*")).alias("has_time")
+    )
+
+
+LIST_FILES_SQL = """
+select cast(c_nationkey as bigint) as nation, 'txt' as kind, cast(sum(strlen(c_name) + 1) as bigint) as size, true as has_time
+from customer group by c_nationkey"""
+
+
+def header_change_readback(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer sheets whose columns swap in a second version: every row keeps the names of its own header."""
+    text = lambda v: F.struct(F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), v.alias("txt"))
+    c = table(spark, folder, "customer").select((F.col("c_nationkey") + 1).cast("bigint").alias("file_id"), F.lit("Clientes").alias("sheet"), "c_custkey", "c_name")
+    values = {"Nome": F.col("c_name"), "Chave": F.col("c_custkey").cast("string")}
+
+    def version(rows: DataFrame, header: list[str]) -> tuple[DataFrame, DataFrame]:
+        body = numbered(rows, ["file_id", "sheet"], "c_custkey", "_n").select(
+            "file_id", "sheet", (F.col("_n") + 1).alias("row_no"), F.array(*[text(values[h]) for h in header]).alias("cells")
+        )
+        top = rows.select("file_id", "sheet").distinct().select(
+            "file_id", "sheet", F.lit(1).cast("bigint").alias("row_no"), F.array(*[text(F.lit(h)) for h in header]).alias("cells")
+        )
+        g = body.unionByName(top)
+        tables = grid.tables(g, grid.table_extents(g, detect=False))
+        return grid.raw_rows(g, tables), tables
+
+    old, old_tables = version(c.filter("c_custkey % 2 = 0"), ["Nome", "Chave"])
+    new, new_tables = version(c.filter("c_custkey % 2 = 1"), ["Chave", "Nome"])
+    keyed = grid.keyed_cells(old.unionByName(new), catalog.upsert_versions(old_tables, new_tables))
+    return keyed.select("file_id", "table_name", "schema_hash", "name", "txt")
+
+
+HEADER_CHANGE_SQL = """
+select cast(c_nationkey + 1 as bigint) as file_id, 'Clientes' as table_name,
+       md5(case when c_custkey % 2 = 0 then 'nome|chave' else 'chave|nome' end) as schema_hash,
+       unnest(['Nome', 'Chave']) as name, unnest([c_name, cast(c_custkey as varchar)]) as txt from customer"""
 
 
 def parquet_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +343,8 @@ QUERIES = {
     "keyed_rows": (keyed_rows, KEYED_ROWS_SQL),
     "json_rows": (json_rows, JSON_ROWS_SQL),
     "json_encode": (json_encode, JSON_ENCODE_SQL),
-    "list_files": (list_files, None),
+    "list_files": (list_files, LIST_FILES_SQL),
+    "header_change_readback": (header_change_readback, HEADER_CHANGE_SQL),
     "parquet_rows": (parquet_rows, PARQUET_ROWS_SQL),
     "csv_grid": (csv_grid, CSV_GRID_SQL),
     "csv_roundtrip": (csv_roundtrip, EXPORTED_SQL),
