@@ -480,15 +480,33 @@ def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame
     return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """documents without the rows whose doc_id is in ``gone``.
+
+    Hashes of the ids that go set bits of a table of fixed size, which every task
+    gets. Rows on a bit that isn't set stay where they are; only the others,
+    with their texts, are shuffled to meet the ids themselves.
+    """
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED))
+    flags = gone.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("_bits"))
+    # WANTED / 64 rows at most, whatever the number of ids.
+    marked = documents.withColumn("_bit", bit).join(F.broadcast(flags), F.shiftright("_bit", 6) == F.col("_word"), "left")
+    marked = marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, int(_bit & 63)) & 1") == 1, F.lit(False)))
+    stay = marked.filter(~F.col("_maybe")).select(*documents.columns)
+    maybe = marked.filter("_maybe").select(*documents.columns)
+    ids = gone.select(F.col("doc_id").alias("_gone"))
+    return stay.unionByName(maybe.join(ids, maybe["doc_id"].eqNullSafe(ids["_gone"]), "left_anti"))
+
+
 def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """The document of the smallest id of each component, with its columns; documents without words all stay.
 
     Of rows that share this id one stays. Of a component without any id, one stays.
     """
     table = stored(similar(documents, percent, size), "similar")
-    gone = table.filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
+    gone = stored(table.filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct(), "gone")
     again = table.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = documents.join(gone, documents["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti") if gone.columns else documents
+    left = without_ids(documents, gone)
     if again.isEmpty():
         return left
     repeated = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
