@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.arrow import blocks, partitions, stored, text_of
 from gridloom.llm.words import GRAPHIC, mix, shingles, words
 
+READ = 1 << 19  # bytes of text that are cut into shingles at a time
 SKETCH = 1 << 23  # counters; a fixed size
 PIECE = 1 << 17  # counters in a row of the sketch
 SALTS = 8  # buckets that a frequent shingle's list is spread over
@@ -120,7 +121,7 @@ def classes(documents: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ):
             n, signature, cls, bitmap = ([None] * block.num_rows for _ in range(4))
             n = [0] * block.num_rows
             made = []
@@ -190,7 +191,7 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
                 rows.append((int(bucket[a]), cls[a:b][new].tobytes(), n[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<i4").tobytes(), h[a:b].tobytes(), pos[a:b].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], ["bucket", "cls", "n", "entries", "h", "pos"])
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ):
             for _, own, sig in sets(block, size):
                 if sig in seen:
                     continue
@@ -201,7 +202,7 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
                 front = np.concatenate([own[~hot], own[hot]])[:k]
                 held.append((front, np.full(k, class_of(sig)), np.full(k, n, "<i4"), np.arange(k, dtype="<i4")))
                 count += k
-                if count >= 1 << 20:
+                if count >= READ:
                     yield flush()
                     held, count = [], 0
                     seen = seen if len(seen) < 200_000 else set()
@@ -407,7 +408,7 @@ def links(documents: DataFrame, known: DataFrame, pairs: DataFrame, size: int, p
     held = spark.sparkContext.broadcast(flags)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", READ):
             ids, made = block.column("bit").to_pylist(), []
             for i, own, sig in sets(block, size):
                 bit = (class_of(sig) ^ ids[i]) % WANTED
