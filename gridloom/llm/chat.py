@@ -5,8 +5,9 @@ backslash goes after the first character of each control string (and of one
 that already has backslashes there), which ``unescape`` takes back exactly.
 A role's own backslashes and line feeds are written ``\\`` and ``\n``.
 
-Rows are dealt by ranges of (conversation, turn, role, text), so a conversation
-of any length spreads over tasks; each task writes *parts* of conversations in
+Rows are dealt by ranges of (conversation, turn, role, beginning of the text), so
+a conversation of any length spreads over tasks, and ranges follow the order of
+texts; each task writes *parts* of conversations in
 order. A part's bytes are assembled column by column: lengths of all segments,
 their cumulative offsets, and one gather into a preallocated buffer.
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.arrow import blocks, buffers, partitions, text_of
 
 CONTROL = r"/s>|/?INST\]"
+HEAD = 256  # characters of a text that range edges tell apart; edges and their sample are on the driver
 OPEN, MIDDLE, CLOSE = b"[INST] ", b" [/INST]", b"</s>"
 PARTS = "conv_id long, part long, formatted string, loss_from array<int>, loss_to array<int>"
 TURN = re.compile(rb"\[INST\] (.*?) \[/INST\](.*?)</s>", re.DOTALL)
@@ -97,8 +99,7 @@ def format_chat(conversations: DataFrame, loss_role: str = "assistant") -> DataF
 
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.col("role")]
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(partitions(conversations.sparkSession), *order, "h").sortWithinPartitions(*order, "text")
+    dealt = rows.repartitionByRange(partitions(conversations.sparkSession), *order, F.left("text", F.lit(HEAD))).sortWithinPartitions(*order, "text")
     return dealt.select("conv_id", "role", "text").mapInArrow(run, PARTS)
 
 

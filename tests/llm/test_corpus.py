@@ -39,6 +39,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_orders_ties_over_ranges(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("aé日Z <\\", k=rng.randint(0, 6))) for _ in range(600)] + ["same " * 60 + str(i) for i in range(60)]
+    rows = [(None, None, "assistant", t) for t in texts]
+    parts = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).persist()
+    (got,) = chat.digest(parts).collect()
+    texts.sort(key=str.encode)
+    assert parts.select(F.shiftright("part", 32)).distinct().count() > 1
+    assert (got.n_turns, got.loss_sha256) == (660, hashlib.sha256("".join(texts).encode()).hexdigest())
+    assert got.turns_sha256 == hashlib.sha256("".join(f"assistant\n{t}\n" for t in texts).encode()).hexdigest()
+
+
 def brute_hits(text, items, window=13):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     hit, found = set(), set()
