@@ -117,7 +117,7 @@ def needed(n: int, m: int, percent: int) -> int:
 
 
 def classes(documents: DataFrame, size: int) -> DataFrame:
-    """kind 0: a row per document (doc_id, n, signature, cls, bitmap of the task's first document of a class); kind 1: pieces of the task's sketch."""
+    """kind 0: a row per document (doc_id, hash of its text, n, signature, cls, bitmap of the task's first document of a class); kind 1: pieces of the task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
@@ -131,17 +131,17 @@ def classes(documents: DataFrame, size: int) -> DataFrame:
             if made:
                 np.add.at(sketch, (np.concatenate(made) % U(SKETCH)).astype(np.int64), 1)
             k = block.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), block.column("doc_id"), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(cls, pa.int64()), pa.array(bitmap, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), block.column("doc_id"), block.column("text_hash"), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(cls, pa.int64()), pa.array(bitmap, pa.binary())], names)
         if sketch.any():
             small = np.minimum(sketch, 255).astype("u1")
             parts = [small[i : i + PIECE].tobytes() for i in range(0, SKETCH, PIECE)]
             k = len(parts)
             none = pa.array([None] * k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, pa.array(np.arange(k)), pa.array(parts, pa.binary()), none, pa.array([None] * k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, pa.array(np.arange(k)), pa.array(parts, pa.binary()), none, pa.array([None] * k, pa.binary())], names)
 
-    names = ["kind", "doc_id", "n", "signature", "cls", "bitmap"]
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "kind int, doc_id long, n long, signature binary, cls long, bitmap binary")
+    names = ["kind", "doc_id", "text_hash", "n", "signature", "cls", "bitmap"]
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "kind int, doc_id long, text_hash long, n long, signature binary, cls long, bitmap binary")
 
 
 def frequent(table: DataFrame) -> np.ndarray:
@@ -453,11 +453,11 @@ def connected(links_: DataFrame) -> DataFrame:
     return labels
 
 
-def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of every document."""
+def labelled(documents: DataFrame, percent: int, size: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component_id of every document, and ``first_hash``: that of the component's first row by id (nulls last), then text hash; null without words."""
     spark = documents.sparkSession
     table = stored(classes(documents, size), "classes")
-    docs = table.filter("kind = 0").select("doc_id", "n", "signature", "cls", "bitmap")
+    docs = table.filter("kind = 0").select("doc_id", "text_hash", "n", "signature", "cls", "bitmap")
     known = docs.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bitmap")).alias("r")).select("cls", "r.doc_id", "r.n", "r.bitmap")
     known = stored(known, "known")
     often = spark.sparkContext.broadcast(frequent(table))
@@ -474,42 +474,42 @@ def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame
             break
         made = stored(made.unionByName(links(documents, known, later, size, percent)), "found")
         joined, before = connected(made), before.unionByName(later)
-    groups = docs.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first")).join(joined, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
-    smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = groups.join(smallest, "component").select("cls", "component_id")
-    out = docs.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    groups = docs.filter("cls is not null").groupBy("cls").agg(first).join(joined, "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("component"))
+    smallest = groups.groupBy("component").agg(F.min("first").alias("first"))
+    ids = groups.select("cls", "component").join(smallest, "component").select("cls", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("first_hash"))
+    out = docs.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls").join(ids, "cls", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "first_hash")
 
-def without_ids(documents: DataFrame, gone: DataFrame) -> DataFrame:
-    """documents without the rows whose doc_id is in ``gone``.
 
-    Hashes of the ids that go set bits of a table of fixed size, which every task
-    gets. Rows on a bit that isn't set stay where they are; only the others,
-    with their texts, are shuffled to meet the ids themselves.
-    """
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED))
-    flags = gone.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("_bits"))
-    # WANTED / 64 rows at most, whatever the number of ids.
-    marked = documents.withColumn("_bit", bit).join(F.broadcast(flags), F.shiftright("_bit", 6) == F.col("_word"), "left")
-    marked = marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, int(_bit & 63)) & 1") == 1, F.lit(False)))
-    stay = marked.filter(~F.col("_maybe")).select(*documents.columns)
-    maybe = marked.filter("_maybe").select(*documents.columns)
-    ids = gone.select(F.col("doc_id").alias("_gone"))
-    return stay.unionByName(maybe.join(ids, maybe["doc_id"].eqNullSafe(ids["_gone"]), "left_anti"))
+def similar(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of every document."""
+    return labelled(documents, percent, size).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """The document of the smallest id of each component, with its columns; documents without words all stay.
+    """One row of each component, with its columns: the first by id (nulls last), then by the text's hash; rows without words all stay.
 
-    Of rows that share this id one stays. Of a component without any id, one stays.
+    Ids needn't tell rows apart: a row is known by its id and its text's hash.
+    Of rows equal in both one stays.
+
+    Hashes of the rows that go, or that are repeated, set bits of a table of fixed
+    size, which every task gets. Rows on a bit that isn't set stay where they are;
+    only the others, with their texts, are shuffled to meet those rows themselves.
     """
-    table = stored(similar(documents, percent, size), "similar")
-    gone = stored(table.filter("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct(), "gone")
-    again = table.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = without_ids(documents, gone)
+    table = stored(labelled(documents, percent, size), "similar").filter("n_shingles > 0")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    marks = table.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(~first).alias("_gone")).filter("_gone or n > 1")
+    marks = stored(marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"), "marks")
+    flags = marks.select(F.pmod(F.xxhash64("_id", "_hash"), F.lit(WANTED)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("_bits"))
+    keyed = documents.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_hash": F.xxhash64(F.col("text").cast("string"))})
+    # WANTED / 64 rows at most, whatever the number of rows.
+    marked = keyed.withColumn("_bit", F.pmod(F.xxhash64("_own_id", "_own_hash"), F.lit(WANTED))).join(F.broadcast(flags), F.shiftright("_bit", 6) == F.col("_word"), "left")
+    marked = marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, int(_bit & 63)) & 1") == 1, F.lit(False)))
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    stay, maybe = marked.filter(~F.col("_maybe")), marked.filter("_maybe")
+    left = stay.select(*documents.columns).unionByName(maybe.join(marks, same, "left_anti").select(*documents.columns))
+    again = marks.filter("not _gone")
     if again.isEmpty():
         return left
-    repeated = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
-    rest = left.join(again, left["doc_id"].eqNullSafe(again["doc_id"]), "left_anti")
-    return rest.unionByName(repeated.dropDuplicates(["doc_id"]))
+    return left.unionByName(maybe.join(again, same).dropDuplicates(["_own_id", "_own_hash"]).select(*documents.columns))

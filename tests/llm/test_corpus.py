@@ -186,6 +186,21 @@ def test_jaccard_join(spark, corpus):
     assert len([i for i in ids if i is not None]) == len({c for i, _, c in got if i is not None})
 
 
+def test_one_row_of_each_component(spark):
+    rng = random.Random(10)
+    prose = lambda: " ".join(str(rng.randint(0, 900)) for _ in range(60))
+    a, b, c, d, e, f, g = (prose() for _ in range(7))
+    rows = [(1, a), (5, a + " x"), (5, b), (5, c), (None, c + " x"), (None, a), (None, d), (None, e), (None, e), (None, f + " x"), (None, f), (5, ""), (5, None), (5, ""), (None, ""), (None, None), (7, g), (7, g), (7, g + " x"), (8, d.upper() + " Q")]
+    documents = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long")
+    kept = jaccard.one_of_each(documents).collect()
+    places = {r.place for r in kept}
+    assert len(places) == len(kept) and all(rows[r.place] == (r.doc_id, r.text) for r in kept)
+    texts = Counter((r.doc_id, r.text) for r in kept)
+    either = [texts.pop((None, f), 0) + texts.pop((None, f + " x"), 0), texts.pop((7, g), 0) + texts.pop((7, g + " x"), 0)]
+    assert either == [1, 1]
+    assert texts == Counter([(1, a), (5, b), (5, c), (None, e), (8, d.upper() + " Q"), (5, ""), (5, None), (5, ""), (None, ""), (None, None)])
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_divide_skip(seed):
     rng = np.random.default_rng(seed)
