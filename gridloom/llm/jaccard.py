@@ -470,8 +470,8 @@ def labelled(documents: DataFrame, percent: int, size: int) -> DataFrame:
     joined = connected(made)
     for partners in (PARTNERS, None):
         later = stored(later_pairs(found, joined, known, before, percent, partners), "pairs")
-        if later.isEmpty():
-            break
+        if later.isEmpty():  # partners that were all tested before say nothing of the others
+            continue
         made = stored(made.unionByName(links(documents, known, later, size, percent)), "found")
         joined, before = connected(made), before.unionByName(later)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")

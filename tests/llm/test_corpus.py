@@ -186,6 +186,15 @@ def test_jaccard_join(spark, corpus):
     assert len([i for i in ids if i is not None]) == len({c for i, _, c in got if i is not None})
 
 
+def test_last_pass_follows_an_empty_one(spark, monkeypatch):
+    """A chain in which only neighbours link, whose lists give only pairs with their first members; the pass of few partners gives none."""
+    monkeypatch.setattr(jaccard, "DIRECT", 1)
+    monkeypatch.setattr(jaccard, "PARTNERS", 0)
+    words = [f"w{i}" for i in range(400)]
+    rows = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 100])) for i in range(30)], "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard.similar(rows).collect()), key=repr) == brute_components(rows.collect())
+
+
 def test_one_row_of_each_component(spark):
     rng = random.Random(10)
     prose = lambda: " ".join(str(rng.randint(0, 900)) for _ in range(60))
