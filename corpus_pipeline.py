@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A fitted classifier and a packing program aren't SQL; tests/llm holds the rows against brute force.
+#: A fitted classifier and a packing program aren't SQL; tests/llm holds operators against brute force, not yet the chain of stages.
 ORACLE_SQL = None
 
 

@@ -130,6 +130,55 @@ def test_secrets_by_constants():
     assert secret_scan.scan("") == [] and secret_scan.scan("ſecret = abcdefg") == []
 
 
+def brute_base(text):
+    """Base spans without patterns: for each kind leftmost, non-overlapping."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    run = lambda at, some: next((k for k in range(at, len(text)) if text[k] not in some), len(text))
+
+    def assigned(at):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(n)].translate(LOWER) == n), None)
+        if name is None:
+            return None
+        p = at + len(name)
+        p = run(p + (text[p : p + 1] in ('"', "'")), " ")
+        if text[p : p + 1] not in (":", "="):
+            return None
+        p = run(p + 1, " ")
+        p += text[p : p + 1] in ('"', "'")
+        end = run(p, value)
+        return (end, end - p >= 6) if end > p else None
+
+    def access(at):
+        end = run(at + 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if text.startswith("AKIA", at) else at
+        return (end, True) if end - at >= 20 else None
+
+    def hexadecimal(at):
+        end = run(at, "0123456789abcdef")
+        return (end, True) if end - at >= 24 else None
+
+    out = []
+    for kind, of in enumerate((assigned, access, hexadecimal)):
+        at = 0
+        while at < len(text):
+            found = of(at)
+            if found and found[1]:
+                out.append((at, kind, found[0]))
+            at = found[0] if found else at + 1
+    return sorted(out)
+
+
+def test_base_spans_by_brute_force():
+    rng = random.Random(11)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apiKey", "api-key", "=", ":", " = ", ": ", " ", '"', "'", "AKIA", "ABC123XYZ9876543", "Z", "0a1b2c3d4e5f", "abcdef", "x9", "é", "ſ", "\n", "\t", "+/", "_."]
+    n = Counter()
+    for _ in range(20000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        got = [s for s in secret_scan.scan(text) if s[1] < 3]
+        assert got == brute_base(text), text
+        n.update(k for _, k, _ in got)
+    assert min(n[k] for k in range(3)) > 20
+
+
 def test_redaction_keeps_rows(spark, corpus):
     got = secret_scan.redact(corpus)
     assert got.columns == corpus.columns and got.count() == corpus.count()
