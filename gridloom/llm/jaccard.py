@@ -1,7 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by T-occurrence search.
 
 Two documents link when their sets' intersection is at least ``percent`` of
-their union. Exact, in these steps; no step sees all pairs of a group:
+their union. The components of these links are
+exact, in these steps; no step sees all pairs of a group:
 
 1. Sets. Each text's distinct shingles; documents of equal sets form a *class*.
    The same pass fills a fixed-size sketch of how often shingles occur, which
@@ -22,6 +23,11 @@ their union. Exact, in these steps; no step sees all pairs of a group:
    and keeps those that reach the overlap they need.
 6. Links join classes to components by hooking and contraction.
 
+Exact are the components. Links inside one aren't enumerated: once members of a
+list are joined, their other pairs are never tested, so there are neither pairs
+nor counts of links to read off. Candidates come from prefix lists, stars in
+them and bitmaps; DivideSkip judges only those that are left.
+
 Nulls: a null text has no words; documents without words link with nothing and
 are their own component. Rows with a null id take part; a component's id is the
 smallest id that is not null. Repeated rows are in one class. No rows give no
