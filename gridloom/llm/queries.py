@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fingerprints, jaccard, language, packing, quality, secret_scan, token_files, toxicity
+from gridloom.llm import bit_codes, centroids, chat, decontaminate, fingerprints, hard_negatives, jaccard, language, packing, quality, secret_scan, token_files, toxicity
 from gridloom.llm.tokens import encoder
 
 
@@ -122,6 +122,74 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(documents(spark, folder))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings").withColumn("label", turned))
+
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+OP11_SQL = f"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_WHOLE}
+), s AS (
+    SELECT a.r AS a, a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_dot_product(a.c, v.c) AS BIGINT) AS score
+    FROM v a JOIN v ON len(a.c) = len(v.c) WHERE a.vec_id % 100 = 0
+), p AS (
+    SELECT a, anchor_id, own, vec_id, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS k
+    FROM s WHERE label = own AND vec_id <> anchor_id QUALIFY k <= 5
+)
+SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY a, k ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (a, anchor_id, own) WHERE s.label <> own AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+"""
+
+
+def op12_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_codes.nearest(table(spark, folder, "embeddings"))
+
+
+#: The exact neighbours: what the search finds as long as no estimate passes its bound.
+OP12_SQL = f"""
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c
+    FROM embeddings WHERE vec_id IS NOT NULL AND {_WHOLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM (
+    SELECT q.r, q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.c, v.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda x, y: x + y)) AS score
+    FROM v q JOIN v ON len(q.c) = len(v.c) AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+QUALIFY rank <= 10
+"""
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def _centroid_sql(rounds: int = 3) -> str:
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, embedding) - 1 AS n, c FROM v QUALIFY n < 16)",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"a{i} AS MATERIALIZED (SELECT r, m % 16 AS n, m // 16 AS distance FROM (SELECT r, min(16 * CAST(list_dot_product(v.c, v.c) - 2 * list_dot_product(v.c, k.c) + list_dot_product(k.c, k.c) AS BIGINT) + n) AS m FROM v, c{i} k GROUP BY r))"
+        )
+        if i < rounds:
+            parts.append(
+                f"m{i} AS (SELECT n, list(CAST((s - ((s % k) + k) % k) // k AS DOUBLE) ORDER BY j) AS c FROM (SELECT n, j, CAST(sum(c[j]) AS BIGINT) AS s, count(*) AS k FROM a{i} JOIN v USING (r), range(1, 65) t(j) GROUP BY n, j) GROUP BY n)"
+            )
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT n, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (n))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(n AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY n) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(list_transform(c{rounds}.c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (n)"""
+
+
+OP13_SQL = _centroid_sql()
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
     import corpus_pipeline
@@ -140,5 +208,8 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_quality": (op9_quality, None),
     "op10_jaccard": (op10_jaccard, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_nearest": (op12_nearest, OP12_SQL),
+    "op13_centroids": (op13_centroids, OP13_SQL),
     "pipeline": (pipeline, None),
 }
