@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.arrow import annotated, text_of
+from gridloom.llm.arrow import annotated, blocks, text_of
 from gridloom.llm.words import Words, words
 
 #: Bytes of benchmark text that one pass sends to the tasks.
@@ -220,21 +220,44 @@ def judged(texts: pa.Array, p: Phrases, prior: list[pa.Array] | None) -> list[pa
     ]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """documents with n_words, n_hit, items (ids with windows in the text, as strings), hit words and removal spans (code points), contaminated."""
-    sc = documents.sparkSession.sparkContext
+def grouped(benchmark: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
+    """Items, and in how many groups of ``group_bytes`` of text they are sent."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    groups = max(1, -(-total // group_bytes))
+    return items, max(1, -(-total // group_bytes))
+
+
+def sent(items: DataFrame, groups: int, k: int, window: int):
+    own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(groups)) == k)
+    return items.sparkSession.sparkContext.broadcast(phrases([tuple(r) for r in own.collect()], window))  # group_bytes of text
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """documents with n_words, n_hit, items (ids with windows in the text, as strings), hit words and removal spans (code points), contaminated."""
+    items, groups = grouped(benchmark, group_bytes)
     out = documents
     for k in range(groups):
-        own = items if groups == 1 else items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(groups)) == k)
-        held = sc.broadcast(phrases([tuple(r) for r in own.collect()], window))  # group_bytes of text, as summed above
-        out = one_pass(out, text, held, k > 0)
+        out = one_pass(out, text, sent(items, groups, k, window), k > 0)
     hit = F.col("n_hit")
     return out.withColumn("contaminated", (hit > 0) & (20 * hit >= F.col("n_words")))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns, whatever their names. Texts are sent to Python once."""
+    items, groups = grouped(benchmark, group_bytes)
+    if groups > 1:  # hits of all groups count together, so they go along
+        rows = documents.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+        return decontaminate(rows, benchmark, window, "_text", group_bytes).filter(~F.col("contaminated")).select("_row.*")
+    held = sent(items, groups, 0, window)
+
+    def run(batches):
+        for block in blocks(batches, text):
+            n_words, n_hit = (c.to_numpy() for c in judged(text_of(block.column(text)), held.value, None)[:2])
+            yield block.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def one_pass(df: DataFrame, text: str, held, again: bool) -> DataFrame:
     prior = ["items", "hit_from", "hit_to"]
     if not again:

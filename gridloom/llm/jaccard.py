@@ -45,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +55,8 @@ from gridloom.llm.words import GRAPHIC, mix, shingles, words
 READ = 1 << 19  # bytes of text that are cut into shingles at a time
 SKETCH = 1 << 23  # counters; a fixed size
 PIECE = 1 << 17  # counters in a row of the sketch
+WAYS = 64  # streams that the tasks' sketches of a piece are added in first
+TOLD = 500_000  # pairs that a task remembers, so as not to name them again
 SALTS = 8  # buckets that a frequent shingle's list is spread over
 BUCKET = 2_000_000  # prefix entries that a bucket should hold
 DIRECT = 8  # lists of so many members give their pairs at once
@@ -64,6 +67,7 @@ BRIEF = 64  # bytes of the folded bitmaps that list members carry
 WANTED = 1 << 24  # bits that tell which documents' sets to send
 MU = 0.02  # DivideSkip's weight of a probe against a merge
 U = np.uint64
+PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
 
 
 def set_of(h: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -123,7 +127,7 @@ def needed(n: int, m: int, percent: int) -> int:
 
 
 def classes(documents: DataFrame, size: int) -> DataFrame:
-    """kind 0: a row per document (doc_id, hash of its text, n, signature, cls, bitmap of the task's first document of a class); kind 1: pieces of the task's sketch."""
+    """kind 0: a row per document (doc_id, hash of its text, n, signature, cls, bitmap of the task's first document of a class); kind 1: pieces of the task's sketch, cls being the task's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.uint32)
@@ -142,34 +146,59 @@ def classes(documents: DataFrame, size: int) -> DataFrame:
             small = np.minimum(sketch, 255).astype("u1")
             parts = [small[i : i + PIECE].tobytes() for i in range(0, SKETCH, PIECE)]
             k = len(parts)
-            none = pa.array([None] * k, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, pa.array(np.arange(k)), pa.array(parts, pa.binary()), none, pa.array([None] * k, pa.binary())], names)
+            none, task = pa.array([None] * k, pa.int64()), TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, pa.array(np.arange(k)), pa.array(parts, pa.binary()), pa.array(np.full(k, task)), pa.array([None] * k, pa.binary())], names)
 
     names = ["kind", "doc_id", "text_hash", "n", "signature", "cls", "bitmap"]
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return rows.mapInArrow(run, "kind int, doc_id long, text_hash long, n long, signature binary, cls long, bitmap binary")
 
 
-def frequent(table: DataFrame) -> np.ndarray:
-    """Bits of the sketch whose count stands out, as one fixed-size bitmap."""
+def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each (piece, way) added up, of rows sorted by both: one piece is held at a time."""
+
+    def out(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([int(total.sum())]), pa.array([np.minimum(total, 2**31 - 1).astype("<u4").tobytes()], pa.binary())], ["piece", "way", "total", "counts"])
+
+    now, total = None, np.zeros(PIECE, np.int64)
+    for batch in batches:
+        for i, key in enumerate(zip(batch.column("piece").to_pylist(), batch.column("way").to_pylist())):
+            if now not in (None, key):
+                yield out(now, total)
+                total[:] = 0
+            now, own = key, batch.column("counts")[i].as_buffer()
+            total += np.frombuffer(own, "u1" if own.size == PIECE else "<u4")
+    if now is not None:
+        yield out(now, total)
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, "u1").astype(np.int64) for b in pdf["signature"])
-        return pd.DataFrame({"piece": [int(pdf["n"].iloc[0])], "total": [int(total.sum())], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
 
-    added = table.filter("kind = 1").select("n", "signature").groupBy("n").applyInPandas(add, "piece long, total long, counts binary")
+def frequent(table: DataFrame) -> np.ndarray:
+    """Bits of the sketch whose count stands out, as one packed bitmap of fixed size.
+
+    Every task has its own sketch: they are added in WAYS streams a piece, then those streams.
+    """
+    spark = table.sparkSession
+    added = table.filter("kind = 1").select(F.col("n").alias("piece"), F.pmod("cls", F.lit(WAYS)).alias("way"), F.lit(0).cast("long").alias("total"), F.col("signature").alias("counts"))
+    for way in ("way", F.lit(0).cast("long").alias("way")):
+        some = added.select("piece", way, "counts").repartition(partitions(spark), "piece", "way").sortWithinPartitions("piece", "way")
+        added = some.mapInArrow(summed, "piece long, way long, total long, counts binary")
     added = stored(added, "sketch")
     mean = (added.agg(F.sum("total")).first()[0] or 0) / SKETCH
     limit = mean + 8 * math.sqrt(mean) + 10
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(np.frombuffer(c, "<i4") > limit).tobytes() for c in b.column(1).to_pylist()], pa.binary())], ["piece", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.packbits(np.frombuffer(c.as_buffer(), "<u4") > limit, bitorder="little").tobytes() for c in b.column(1)], pa.binary())], ["piece", "bits"])
 
-    out = np.zeros(SKETCH, np.uint8)
+    out = np.zeros(SKETCH // 8, np.uint8)
     for r in added.select("piece", "counts").mapInArrow(bits, "piece long, bits binary").collect():  # SKETCH bits in all
-        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
-    return out > 0
+        out[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def stands_out(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    at = h % U(SKETCH)
+    return (flags[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8) & 1) > 0
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -185,7 +214,7 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
         def flush() -> pa.RecordBatch:
             h, cls, n, pos = (np.concatenate(c) for c in zip(*held))
             base = ((h >> U(32)) % U(buckets)).astype(np.int64)
-            hot = flags[(h % U(SKETCH)).astype(np.int64)]
+            hot = stands_out(h, flags)
             bucket = base * (SALTS + 1) + np.where(hot, 1 + (cls.view(U) % U(SALTS)).astype(np.int64), 0)
             order = np.argsort(bucket, kind="stable")
             bucket, h, cls, n, pos = (v[order] for v in (bucket, h.astype("<u4"), cls, n, pos))
@@ -203,7 +232,7 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
                     continue
                 seen.add(sig)
                 n = len(own)
-                hot = flags[(own % U(SKETCH)).astype(np.int64)]
+                hot = stands_out(own, flags)
                 k = prefix_length(n, percent)
                 front = np.concatenate([own[~hot], own[hot]])[:k]
                 held.append((front, np.full(k, class_of(sig)), np.full(k, n, "<i4"), np.arange(k, dtype="<i4")))
@@ -211,7 +240,7 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
                 if count >= READ:
                     yield flush()
                     held, count = [], 0
-                    seen = seen if len(seen) < 200_000 else set()
+                    seen = seen if len(seen) < 50_000 else set()
         if held:
             yield flush()
 
@@ -299,7 +328,7 @@ def later_pairs(table: DataFrame, components: DataFrame, known: DataFrame, befor
     spread = spread.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cls", "n", "pos", "component", "brief")
 
     def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told: set[tuple[int, int]] = set()  # pairs of this task so far, which other lists hold as well
+        told = np.zeros(0, PAIR)  # pairs of this task so far, which other lists hold as well
         for key, g in runs(batches, ["list", "i", "j"]):
             _, i, j = key
             cls, n, pos, com, own = (g[c].to_numpy() for c in ("cls", "n", "pos", "component", "own"))
@@ -316,11 +345,14 @@ def later_pairs(table: DataFrame, components: DataFrame, known: DataFrame, befor
                     new = np.flatnonzero(np.append(True, com[y][1:] != com[y][:-1]))
                     y = y[np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < partners]
                 if len(y):
-                    out.append(pd.DataFrame({"a": np.minimum(cls[x], cls[y]), "b": np.maximum(cls[x], cls[y])}))
-            pairs = set().union(*(zip(o["a"].tolist(), o["b"].tolist()) for o in out)) - told
-            told = told | pairs if len(told) < 500_000 else pairs
-            if pairs:
-                yield pd.DataFrame(sorted(pairs), columns=["a", "b"])
+                    own_pairs = np.empty(len(y), PAIR)
+                    own_pairs["a"], own_pairs["b"] = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+                    out.append(own_pairs)
+            pairs = np.unique(np.concatenate(out)) if out else told[:0]
+            pairs = pairs[~np.isin(pairs, told, assume_unique=True)]
+            if len(pairs):
+                told = np.concatenate([told, pairs]) if len(told) < TOLD else pairs
+                yield pd.DataFrame({"a": pairs["a"], "b": pairs["b"]})
 
     keys = ["list", "i", "j"]
     made = spread.repartition(partitions(table.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(cross, "a long, b long")
@@ -508,14 +540,15 @@ def one_of_each(documents: DataFrame, percent: int = 75, size: int = 5) -> DataF
     marks = table.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.bool_or(~first).alias("_gone")).filter("_gone or n > 1")
     marks = stored(marks.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"), "marks")
     flags = marks.select(F.pmod(F.xxhash64("_id", "_hash"), F.lit(WANTED)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("_bits"))
-    keyed = documents.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_hash": F.xxhash64(F.col("text").cast("string"))})
+    # The whole row goes along as one column, so that no name of its own can clash.
+    keyed = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), F.xxhash64(F.col("text").cast("string")).alias("_own_hash"))
     # WANTED / 64 rows at most, whatever the number of rows.
     marked = keyed.withColumn("_bit", F.pmod(F.xxhash64("_own_id", "_own_hash"), F.lit(WANTED))).join(F.broadcast(flags), F.shiftright("_bit", 6) == F.col("_word"), "left")
     marked = marked.withColumn("_maybe", F.coalesce(F.expr("shiftrightunsigned(_bits, int(_bit & 63)) & 1") == 1, F.lit(False)))
     same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
     stay, maybe = marked.filter(~F.col("_maybe")), marked.filter("_maybe")
-    left = stay.select(*documents.columns).unionByName(maybe.join(marks, same, "left_anti").select(*documents.columns))
+    left = stay.select("_row").unionByName(maybe.join(marks, same, "left_anti").select("_row"))
     again = marks.filter("not _gone")
-    if again.isEmpty():
-        return left
-    return left.unionByName(maybe.join(again, same).dropDuplicates(["_own_id", "_own_hash"]).select(*documents.columns))
+    if not again.isEmpty():
+        left = left.unionByName(maybe.join(again, same).dropDuplicates(["_own_id", "_own_hash"]).select("_row"))
+    return left.select("_row.*")
