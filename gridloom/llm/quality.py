@@ -73,10 +73,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Discriminant:
-    """Two classes with means, cached Cholesky factors and log determinants; and the calibration."""
+    """Two classes with means, the cached inverses of their Cholesky factors and log determinants; and the calibration."""
 
     means: np.ndarray
-    factors: np.ndarray
+    inverses: np.ndarray
     constants: np.ndarray
     slope: float
     intercept: float
@@ -84,8 +84,8 @@ class Discriminant:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         density = []
-        for mean, factor, constant in zip(self.means, self.factors, self.constants):
-            z = np.linalg.solve(factor, (x - mean).T)
+        for mean, inverse, constant in zip(self.means, self.inverses, self.constants):
+            z = inverse @ (x - mean).T
             density.append(constant - 0.5 * (z**2).sum(axis=0))
         return squashed(density[1] - density[0])
 
@@ -112,7 +112,7 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = 0.1, identity: float = 0.0
         cov = (1 - pooled - identity) * own + pooled * whole + identity * np.trace(whole) / len(m) * np.eye(len(m)) + 1e-9 * np.eye(len(m))
         factors.append(np.linalg.cholesky(cov))
         constants.append(np.log(len(g) / len(y)) - np.log(np.diag(factors[-1])).sum())
-    model = Discriminant(means, np.array(factors), np.array(constants), 1, 0)
+    model = Discriminant(means, np.linalg.inv(np.array(factors)), np.array(constants), 1, 0)
     model.slope, model.intercept = platt(model.raw(x), y)
     return model
 

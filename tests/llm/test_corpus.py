@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fingerprints, jaccard, language, packing, quality, secret_scan, token_files, toxicity
+from gridloom.llm import chat, decontaminate, fingerprints, jaccard, language, learning, packing, quality, secret_scan, token_files, toxicity
 from gridloom.llm.arrow import text_of
 from gridloom.llm.queries import tokenizer
 from gridloom.llm.tokens import Encoder
@@ -304,3 +304,49 @@ def test_filters_keep_columns(spark, corpus):
     kept = quality.accepted(corpus, labels)
     assert kept.columns == corpus.columns and kept.count() == corpus.count()
     assert quality.score_quality(corpus, quality.train(corpus, labels)).filter(F.col("score").isNull()).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the operators' own come out as they went in, rows that stay are whole."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(200)]
+    item = " ".join(words[:30])
+    texts = [item, " ".join(rng.choices(words, k=400)), " ".join(words[50:90]), " ".join(words[50:90]), None, "", "x " + " ".join(words[100:140]) + " " + item]
+    names = ["items", "n_words", "_id", "_bit", "_word", "_own_id", "_own_hash", "_maybe", "_hash", "_gone", "_bits", "_row", "_text", "contaminated"]
+    rows = [(i if i != 3 else None, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([("a", item), ("b", " ".join(words[140:170])), (None, None)], "item_id string, text string")
+    clean = [r for r in rows if not brute_judged(r[1], [("a", item), ("b", " ".join(words[140:170]))])]
+    for size in (1 << 20, 60):
+        assert sorted(map(tuple, decontaminate.clean(df, bench, group_bytes=size).collect()), key=repr) == sorted(clean, key=repr)
+    kept = [tuple(r) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(kept, key=repr) == sorted([r for r in rows if r[0] is not None], key=repr)
+
+
+def brute_judged(text, items):
+    n_words, hit, _ = brute_hits(text, items)
+    return hit > 0 and 20 * hit >= n_words
+
+
+def test_sketches_add_up(spark):
+    """Rows of one shingle in many tasks: the sums stand out as those of one task do."""
+    hot = "a b c d e"
+    docs = spark.createDataFrame([(i, f"{hot} {' '.join(f'w{i}x{j}' for j in range(30))}") for i in range(300)], "doc_id long, text string")
+    flags = [jaccard.frequent(jaccard.classes(docs.repartition(n), 5).persist()) for n in (1, 90)]
+    assert (flags[0] == flags[1]).all() and int(np.unpackbits(flags[0]).sum()) == 1
+    h = jaccard.shingles(jaccard.words(text_of(pa.array([hot])), jaccard.GRAPHIC), 5)[1]
+    assert jaccard.stands_out(h, flags[1]).all()
+
+
+@pytest.mark.parametrize("gap", [0.0, 0.5, 50.0, 5000.0])
+def test_calibration_of_separable_scores(gap):
+    """Classes that a threshold parts get chances on its two sides, whatever their distance and sizes."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(4000) < 0.86).astype(float)
+    raw = rng.standard_normal(4000) + gap * (2 * y - 1)
+    slope, intercept = learning.platt(raw, y)
+    p = learning.sigmoid(slope * raw + intercept)
+    assert slope > 0 if gap else True
+    assert abs(p.mean() - y.mean()) < 0.01
+    if gap >= 50:
+        assert (p[y == 1] > 0.9).all() and (p[y == 0] < 0.1).all()
