@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import gridding, readback, starring, unpivoting, upkeep
+from gridloom.plans import gridding, readback, reloading, starring, unpivoting, upkeep
 
-MODULES = [unpivoting, starring, readback, gridding, upkeep]
+MODULES = [unpivoting, starring, readback, gridding, upkeep, reloading]
 
 
 def registered() -> dict:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.blocks import block_of
-from gridloom.operators.grid import SHEET, TABLE
+from gridloom.operators.grid import SHEET
 from gridloom.operators.reshape import project
+from gridloom.sources.layer import Layer
 
 LINE = [*SHEET, "line_no"]
 
@@ -25,55 +22,35 @@ FACTS = (
 )
 
 
-def append_raw(raw: DataFrame, path: str) -> None:
-    """Add raw rows, one folder per schema. Rebalancing splits large schemas and joins small ones."""
-    raw.hint("rebalance", "schema_hash").write.mode("append").partitionBy("schema_hash").parquet(path)
+def raw_layer(spark: SparkSession, path: str) -> Layer:
+    return Layer(spark, path, RAW, "table_name")
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RAW).parquet(path)
+def fact_layer(spark: SparkSession, path: str) -> Layer:
+    return Layer(spark, path, FACTS)
 
 
-def replace_raw(raw: DataFrame, path: str) -> None:
-    """Write raw rows in place of the stored ones of the same (schema, file, table); all others stay."""
-    _replace(raw, path, RAW, ["schema_hash", *TABLE])
+def append_raw(raw: DataFrame, path: str) -> None:
+    """Add raw rows to the stored ones."""
+    raw_layer(raw.sparkSession, path).load(raw, replace=False)
 
 
-def replace_facts(fact: DataFrame, path: str) -> None:
-    """Write facts in place of the stored ones of the same (schema, file, sheet), so a second run changes nothing; all others stay."""
-    _replace(fact, path, FACTS, ["schema_hash", *SHEET])
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return raw_layer(spark, path).read()
 
 
-def _replace(rows: DataFrame, path: str, schema: str, keys: Sequence[str]) -> None:
-    """Only the folders of the schemas in ``rows`` are rewritten, from a staging copy that holds what they keep and what is new."""
-    spark = rows.sparkSession
-    new = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
-    rows.hint("rebalance", "schema_hash").write.partitionBy("schema_hash").parquet(new)
-    staged = spark.read.schema(schema).parquet(new)
-    try:
-        old = spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        kept = staged
-    else:
-        touched = staged.select("schema_hash").distinct()
-        rest = old.join(touched, "schema_hash", "left_semi").join(staged.select(*keys).distinct(), list(keys), "left_anti")
-        both = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-        staged.unionByName(rest).hint("rebalance", "schema_hash").write.partitionBy("schema_hash").parquet(both)
-        kept = spark.read.schema(schema).parquet(both)
-    kept.hint("rebalance", "schema_hash").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("schema_hash").parquet(path)
-    for folder in {new} if kept is staged else {new, both}:
-        _delete(spark, folder)
+def replace_raw(raw: DataFrame, path: str, loaded: DataFrame | None = None) -> None:
+    """Store raw rows in place of all that ``loaded`` files (``file_id, table_name``) held, or else of the tables in ``raw``; all others stay."""
+    raw_layer(raw.sparkSession, path).load(raw, loaded)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def replace_facts(fact: DataFrame, path: str, loaded: DataFrame | None = None) -> None:
+    """Store facts in place of all that ``loaded`` files (``file_id, sheet``) held, or else of the sheets in ``fact``; all others stay."""
+    fact_layer(fact.sparkSession, path).load(fact, loaded)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FACTS).parquet(path)
+    return fact_layer(spark, path).read()
 
 
 def write_sheets(rows: DataFrame, layout: DataFrame, path: str, fmt: str = "csv", as_text: bool = True) -> list[str]:

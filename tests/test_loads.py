@@ -15,7 +15,7 @@ def test_second_load_of_one_header_keeps_the_first_file(spark, tmp_path):
         sinks.replace_facts(star.fact(facts), path)
     got = sinks.read_facts(spark, path).filter("value_num is not null").select("file_id", "value_num").collect()
     assert sorted(map(tuple, got)) == [(1, 10.0), (2, 30.0)]
-    assert [p.name for p in tmp_path.iterdir()] == ["fact"]  # staging copies are gone
+    assert [p.name for p in tmp_path.iterdir()] == ["fact"]
 
 
 def test_purge_of_raw_rows_then_second_load(spark, tmp_path):
