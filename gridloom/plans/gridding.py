@@ -272,6 +272,23 @@ select n, '', cast(n as double), cast(n as varchar), 'rows' from (select count(*
 """
 
 
+def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, line breaks and quotes and all, as quoted CSV fields: every text comes back as one cell."""
+
+    def write(path: str) -> None:
+        d = table(spark, folder, "documents")
+        quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+        d.select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted(F.col("text")), "lang").alias("value")).write.text(f"{path}/documents.csv")
+
+    g = sources.read_csv_grid(spark, inputs.stored(spark, folder, "csv_documents", write), glob="part-*")
+    c = lambda i: F.col("cells")[i]["txt"]
+    return g.select(c(0).cast("bigint").alias("doc_id"), F.size("cells").cast("bigint").alias("n_cells"), F.md5(c(1).cast("binary")).alias("text_md5"), F.length(c(1)).cast("bigint").alias("n_chars"), c(2).alias("lang"))
+
+
+CSV_DOCUMENTS_SQL = """
+select doc_id, cast(3 as bigint) as n_cells, md5(coalesce(text, '')) as text_md5, length(coalesce(text, '')) as n_chars, lang from documents"""
+
+
 def _exported(spark: SparkSession, folder: str, fmt: str) -> str:
     def write(path: str) -> None:
         fact, _, _, columns = inputs.star_of_sales(spark, folder)
@@ -347,6 +364,7 @@ QUERIES = {
     "header_change_readback": (header_change_readback, HEADER_CHANGE_SQL),
     "parquet_rows": (parquet_rows, PARQUET_ROWS_SQL),
     "csv_grid": (csv_grid, CSV_GRID_SQL),
+    "csv_documents": (csv_documents, CSV_DOCUMENTS_SQL),
     "csv_roundtrip": (csv_roundtrip, EXPORTED_SQL),
     "parquet_roundtrip": (parquet_roundtrip, EXPORTED_SQL),
     "workbook_scan": (workbook_scan, WORKBOOK_SCAN_SQL),

@@ -68,20 +68,3 @@ def test_verified_dates_hold_for_impossible_months(spark):
     verdict = {r.name: r.is_date for r in v.collect()}
     got = {r.name: r.is_date for r in reshape.named_values(star.fact(facts), columns, "verified").collect()}
     assert got == verdict and verdict["77/2031"]
-
-
-def test_csv_lines_that_would_lose_text_are_errors(spark, tmp_path):
-    import pytest
-
-    from gridloom.sources import files
-
-    def texts(body):
-        (tmp_path / "t.csv").write_text(body, encoding="utf-8")
-        rows = files.read_csv_grid(spark, str(tmp_path)).orderBy("row_no").collect()
-        return [[c.txt for c in r["cells"]] for r in rows]
-
-    assert texts('a;"b;""c""";5" tubo;""\n\n;"";\n') == [["a", 'b;"c"', '5" tubo', ""], [], ["", "", ""]]
-    assert texts(';a;b\n;;c\n') == [["", "a", "b"], ["", "", "c"]]
-    for body in ('1;"x\ny"\n', '"x\ny";1\n', '1;"x;2""\ny"\n', 'a;"b"c;d\n'):
-        with pytest.raises(Exception, match="unclosed quoted field"):
-            texts(body)
