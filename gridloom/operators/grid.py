@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.text import cell_text, fingerprint, has_value, header_text, ingested, is_blank, quoted_json
-from gridloom.operators.blocks import BLOCK, block_of, next_position, numbered
+from gridloom.operators.blocks import BLOCK, block_of
 
 SHEET = ["file_id", "sheet"]
 TABLE = ["file_id", "table_name"]
@@ -24,22 +24,54 @@ def blank_row(cells: Column) -> Column:
     return F.coalesce(F.forall(cells, lambda c: (c["kind"] == "blank") | (~c["kind"].isin("number", "bool") & is_blank(c["txt"]))), F.lit(True))
 
 
-def runs_of_rows(grid: DataFrame, min_rows: int = 3, block: int = BLOCK) -> DataFrame:
-    """Maximal runs of non-blank rows with at least ``min_rows`` rows, numbered per sheet.
+def _segmented(grid: DataFrame, min_rows: int, block: int) -> DataFrame:
+    """Per block of rows: its runs of non-blank rows (array ``_runs``, each in the block of the blank row that ends it), and of its
+    sheet ``_total`` runs, of which ``_upto`` lie before; ``_start``, ``_end``, and whether the block ``_closes`` the sheet.
 
-    Returns ``file_id, sheet, table_no, start_row, end_row``. Only blank rows and
-    the two ends of each sheet are shuffled.
+    A block's summary (its blank rows' places) is one aggregate. Summaries merge
+    along the sheet: the last blank row before a block and the runs before it are
+    running values over narrow block rows, joined back to the block. Both sides
+    come from one aggregate of the grid, so the grid is read once.
     """
-    ends = grid.groupBy(*SHEET).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"))
-    edges = ends.select(*SHEET, F.explode(F.array(F.col("first_row") - 1, F.col("last_row") + 1)).alias("row_no"))
-    breaks = grid.filter(blank_row(F.col("cells"))).select(*SHEET, F.col("row_no").cast("bigint").alias("row_no"))
-    gaps = next_position(breaks.unionByName(edges), SHEET, "row_no", "next_row", block)
-    runs = gaps.select(
-        *SHEET, (F.col("row_no") + 1).alias("start_row"), (F.col("next_row") - 1).alias("end_row")
-    ).filter(F.col("end_row") - F.col("start_row") + 1 >= F.lit(max(min_rows, 1)))
-    return numbered(runs, SHEET, "start_row", "table_no", block=block).select(
-        *SHEET, F.col("table_no").cast("int").alias("table_no"), "start_row", "end_row"
+    row, least = F.col("row_no").cast("bigint"), F.lit(max(min_rows, 1))
+    blocks = grid.groupBy(*SHEET, block_of("row_no", block).alias("_blk")).agg(
+        F.min(row).alias("_low"), F.max(row).alias("_high"), F.sort_array(F.collect_list(F.when(blank_row(F.col("cells")), row))).alias("_blanks")
+    )
+
+    def runs(edges: Column) -> Column:
+        n = F.size(edges) - 1
+        pairs = F.zip_with(F.slice(edges, F.lit(1), n), F.slice(edges, F.lit(2), n), lambda x, y: F.struct((x + 1).alias("start_row"), (y - 1).alias("end_row")))
+        return F.filter(pairs, lambda r: r["end_row"] - r["start_row"] + 1 >= least)
+
+    some = F.size("_blanks") > 0
+    first, last = F.when(some, F.element_at("_blanks", 1)), F.when(some, F.element_at("_blanks", -1))
+    narrow = blocks.select(*SHEET, "_blk", "_low", "_high", first.alias("_first"), last.alias("_last"), F.when(some, F.size(runs(F.col("_blanks")))).otherwise(0).alias("_inside"))
+    whole = Window.partitionBy(*SHEET)
+    along = whole.orderBy("_blk")
+    before = F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    told = narrow.select(
+        *SHEET, "_blk", "_first", "_last", "_inside", F.min("_low").over(whole).alias("_start"), F.max("_high").over(whole).alias("_end"),
+        F.lead("_blk").over(along).isNull().alias("_closes"), before.alias("_before"),
+    ).withColumn("_before", F.coalesce("_before", F.col("_start") - 1))
+    opens = F.coalesce(F.col("_first") - F.col("_before") - 1 >= least, F.lit(False)).cast("int")
+    closes = (F.col("_closes") & (F.col("_end") - F.coalesce("_last", "_before") >= least)).cast("int")
+    counted = told.withColumn("_n", (F.col("_inside") + opens + closes).cast("bigint")).select(
+        *SHEET, "_blk", "_start", "_end", "_closes", "_before", F.sum("_n").over(whole).alias("_total"),
+        (F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_upto"),
     )
+    none = F.array().cast("array<bigint>")
+    # A block's own ends are used here, so that both sides of the join ask for the same aggregate and share its exchange.
+    edges = F.concat(F.array(F.least("_before", F.col("_low") - 1)), "_blanks", F.when(F.col("_closes"), F.array(F.col("_high") + 1)).otherwise(none))
+    return blocks.join(counted, [*SHEET, "_blk"]).withColumn("_runs", runs(edges))
+
+
+def _numbered(runs: Column, before: Column) -> Column:
+    return F.transform(runs, lambda r, i: F.struct((before + i + 1).cast("int").alias("table_no"), r["start_row"].alias("start_row"), r["end_row"].alias("end_row")))
+
+
+def runs_of_rows(grid: DataFrame, min_rows: int = 3, block: int = BLOCK) -> DataFrame:
+    """Maximal runs of non-blank rows with at least ``min_rows`` rows, numbered per sheet: ``file_id, sheet, table_no, start_row, end_row``."""
+    return _segmented(grid, min_rows, block).select(*SHEET, F.inline(_numbered(F.col("_runs"), F.col("_upto"))))
 
 
 def table_extents(grid: DataFrame, detect: bool = True, min_rows: int = 3, block: int = BLOCK) -> DataFrame:
@@ -48,19 +80,15 @@ def table_extents(grid: DataFrame, detect: bool = True, min_rows: int = 3, block
     With ``detect`` off, or with fewer than two runs, the whole sheet (blank rows
     included) is one table, ``table_no`` null, named like the sheet.
     """
-    whole = grid.groupBy(*SHEET).agg(
-        F.min("row_no").cast("bigint").alias("start_row"), F.max("row_no").cast("bigint").alias("end_row")
-    )
-    unsplit = whole.select(
-        *SHEET, F.lit(None).cast("int").alias("table_no"), F.col("sheet").alias("table_name"), "start_row", "end_row"
-    )
     if not detect:
-        return unsplit
-    runs = next_position(runs_of_rows(grid, min_rows, block), SHEET, "start_row", "_next", block)
-    split = runs.filter((F.col("table_no") > 1) | F.col("_next").isNotNull()).select(
-        *SHEET, "table_no", sub_table_name(F.col("sheet"), F.col("table_no")).alias("table_name"), "start_row", "end_row"
-    )
-    return unsplit.join(split.filter("table_no = 1").select(*SHEET), SHEET, "left_anti").unionByName(split)
+        ends = grid.groupBy(*SHEET).agg(F.min("row_no").cast("bigint").alias("start_row"), F.max("row_no").cast("bigint").alias("end_row"))
+        return ends.select(*SHEET, F.lit(None).cast("int").alias("table_no"), F.col("sheet").alias("table_name"), "start_row", "end_row")
+    kind = "array<struct<table_no:int,start_row:bigint,end_row:bigint>>"
+    unsplit = F.array(F.struct(F.lit(None).cast("int").alias("table_no"), F.col("_start").alias("start_row"), F.col("_end").alias("end_row")))
+    tables = F.when(F.col("_total") > 1, _numbered(F.col("_runs"), F.col("_upto")).cast(kind)).when(F.col("_closes"), unsplit.cast(kind))
+    found = _segmented(grid, min_rows, block).select(*SHEET, F.inline(tables))
+    name = F.when(F.col("table_no").isNull(), F.col("sheet")).otherwise(sub_table_name(F.col("sheet"), F.col("table_no")))
+    return found.select(*SHEET, "table_no", name.alias("table_name"), "start_row", "end_row")
 
 
 def sub_table_name(sheet: Column, table_no: Column) -> Column:
