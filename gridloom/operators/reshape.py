@@ -79,7 +79,11 @@ def corrected_normal(values: DataFrame) -> DataFrame:
 
 
 def corrected(values: DataFrame) -> DataFrame:
-    return corrected_inverted(values).unionByName(corrected_normal(values))
+    """Both kinds at once: lines are built and shuffled one time, and meet their sheet's kind."""
+    kinds = values.groupBy(*SHEET).agg(F.bool_or("is_date").alias("_inverted"))
+    rows = lines(values).join(kinds, SHEET).filter(~F.col("_inverted") | (F.size("dated") > 0))
+    cells = rows.select(*LINE, "entity", F.explode_outer("dated").alias("_c"))
+    return cells.select(*LINE, "entity", F.when(F.col("_c").isNotNull(), date_label(F.col("_c.name"))).alias("label"), F.col("_c.value").alias("value"))
 
 
 def raw_tables(raw: DataFrame, tables: DataFrame) -> DataFrame:
@@ -185,3 +189,49 @@ def side_by_side(rows: DataFrame, columns: Mapping[int, Sequence[str]], date: st
         cells += [of(table, F.coalesce(F.col("entity")[c], F.lit("")), c) for c in names]
         cells += [of(table, F.col("label"), date), of(table, F.col("value"), value)]
     return rows.groupBy(*SHEET, "position").agg(*cells)
+
+
+# ---- everything that there is to export ----------------------------------
+
+
+def export_layout(values: DataFrame, tables: DataFrame, date: str = "Data", value: str = "Valor") -> DataFrame:
+    """Sheets to write and the tables they are made of: ``file_id, sheet`` (the table), ``base, origin, columns, inverted, part, widths, header``.
+
+    Tables with facts are corrected ones; of those in ``tables`` (the catalog)
+    without facts the original goes out. Sub-tables share their base sheet: side
+    by side if there are several, under the plain name if there is one.
+    """
+    known = sheet_columns(values).select(*SHEET, F.lit("fact").alias("origin"), "columns", "inverted")
+    raw = tables.filter("n_rows >= 1").select("file_id", F.col("table_name").alias("sheet"), F.lit("raw").alias("origin"), F.array_distinct("header").alias("columns"), F.lit(False).alias("inverted"))
+    both = known.unionByName(raw.join(known.select(*SHEET), SHEET, "left_anti"))
+    name, number = parse_sub_table(F.col("sheet"))
+    names = F.concat("columns", F.when(F.col("inverted"), F.array(F.lit(date), F.lit(value))).otherwise(F.array().cast("array<string>")))
+    of_base = both.select("file_id", name.alias("base"), F.coalesce(number, F.lit(0)).alias("table_no"), "sheet", "origin", "columns", "inverted", names.alias("names"))
+    # A sheet's tables in one row: as many as the sheet has stacked, each with its column names only.
+    grouped = of_base.groupBy("file_id", "base").agg(F.array_sort(F.collect_list(F.struct("table_no", "sheet", "origin", "columns", "inverted", "names"))).alias("t"))
+    several = F.size("t") > 1
+    prefixed = F.flatten(F.transform("t", lambda t: F.transform(t["names"], lambda n: F.concat(F.lit("t"), t["table_no"].cast("string"), F.lit("_"), n))))
+    wide = grouped.select("file_id", "base", F.when(several, F.transform("t", lambda t: F.size(t["names"]))).alias("widths"), F.when(several, prefixed).otherwise(F.col("t")[0]["names"]).alias("header"), F.posexplode("t").alias("part", "t"))
+    return wide.select("file_id", "t.sheet", "base", "t.origin", "t.columns", "t.inverted", "part", "widths", "header")
+
+
+def export_lines(values: DataFrame, raw: DataFrame, tables: DataFrame, layout: DataFrame) -> DataFrame:
+    """Every line to write, as text cells under its sheet's header: ``file_id, sheet`` (the base one), ``origin, line_no, nth, header, cells``.
+
+    Lines of a sheet stand in the order of (line_no, nth). The facts are shuffled
+    once, by line; only stacked sheets are shuffled again, by position.
+    """
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    originals = raw_tables(raw, tables).select(*LINE, "entity", none.alias("dated"), F.lit("raw").alias("origin"))
+    every = lines(values).withColumn("origin", F.lit("fact")).unionByName(originals).join(layout, [*SHEET, "origin"])
+    every = every.withColumn("_n", F.when(F.col("inverted"), F.size("dated")).otherwise(1)).filter("_n > 0")
+    fixed = F.transform("columns", lambda c: F.coalesce(F.col("entity")[c], F.lit("")))
+    cells = F.when(F.col("inverted"), F.concat(fixed, F.array(date_label(F.col("_c.name")), F.col("_c.value")))).otherwise(fixed)
+    alone = every.filter("widths is null").select("*", F.posexplode_outer("dated").alias("_i", "_c"))
+    plain = alone.select("file_id", F.col("base").alias("sheet"), "origin", "line_no", F.coalesce("_i", F.lit(0)).alias("nth"), "header", cells.alias("cells"))
+    stacked = running_sum(every.filter("widths is not null"), SHEET, "line_no", F.col("_n"), "_upto").select("*", F.posexplode_outer("dated").alias("_i", "_c"))
+    placed = stacked.select("file_id", "base", "origin", (F.col("_upto") - F.col("_n") + 1 + F.coalesce("_i", F.lit(0))).alias("line_no"), "header", "widths", "part", cells.alias("cells"))
+    # The header is the same in all lines of a sheet; of a position each table has one line at most.
+    met = placed.groupBy("file_id", "base", "line_no", "header", "widths").agg(F.min("origin").alias("origin"), F.map_from_entries(F.collect_list(F.struct("part", "cells"))).alias("_of"))
+    side = F.flatten(F.transform("widths", lambda w, i: F.coalesce(F.col("_of")[i], F.array_repeat(F.lit(""), w))))
+    return plain.unionByName(met.select("file_id", F.col("base").alias("sheet"), "origin", "line_no", F.lit(0).alias("nth"), "header", side.alias("cells")))

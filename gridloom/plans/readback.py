@@ -8,7 +8,8 @@ from gridloom.operators import layers, reshape
 from gridloom.operators.grid import sub_table_name
 from gridloom.plans import inputs, starring
 from gridloom.plans.inputs import SALES_SQL
-from gridloom.sources.sinks import read_facts
+from gridloom.sources.files import read_csv_grid
+from gridloom.sources.sinks import read_facts, write_csv_sheets
 
 _LABEL_SQL = "['jan','fev','mar','abr','mai','jun','jul','ago','set','out','nov','dez'][month(any_month)] || '/' || strftime(any_month, '%y')"
 
@@ -173,6 +174,67 @@ union all
 select file_id, p_type, line_no, 'raw', cast(p_partkey as varchar), null, null from line"""
 
 
+def _everything(spark: SparkSession, folder: str) -> str:
+    """Path of all sheets as CSV, in one job, of four kinds.
+
+    Sales of every third file are as they are (inverted); of the next they are cut
+    into two stacked sub-tables, of the rest they are the one sub-table of their
+    sheet. Part files (ids from 1001) have facts where even (no dates: normal),
+    else they are only raw.
+    """
+
+    def write(path: str) -> None:
+        named = F.when(F.col("file_id") % 3 == 1, sub_table_name(F.col("sheet"), (F.col("line_no") % 2 + 1).cast("int"))).when(F.col("file_id") % 3 == 2, sub_table_name(F.col("sheet"), F.lit(1))).otherwise(F.col("sheet"))
+        moved = lambda df: df.withColumn("file_id", F.col("file_id") + 1000)
+        fact, columns = star_of_parts(spark, folder)
+        normal = moved(reshape.named_values(fact.filter("file_id % 2 = 0"), columns))
+        values = _sales_values(spark, folder).withColumn("sheet", named).unionByName(normal)
+        raw, tables = (moved(df) for df in parts(spark, folder))
+        layout = reshape.export_layout(values, tables)
+        write_csv_sheets(reshape.export_lines(values, raw, tables, layout), path)
+
+    return inputs.stored(spark, folder, "everything", write)
+
+
+def export_everything(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record of every sheet's CSV file, headers too, read back as text."""
+    g = read_csv_grid(spark, _everything(spark, folder), numbers=False, glob="part-*")
+    at = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]*)/", 1))
+    return g.select(at("file_id").cast("bigint").alias("file_id"), at("sheet").alias("sheet"), "row_no", F.array_join(F.transform("cells", lambda c: c["txt"]), "|").alias("cells"))
+
+
+EXPORT_EVERYTHING_SQL = f"""with {PART_SQL}, {SALES_SQL},
+dated_line as (
+  select file_id, sheet, case when file_id % 3 = 1 then line_no % 2 + 1 else 0 end as sub, line_no, name,
+         c_name || '|' || cast(c_acctbal as varchar) || '|' || {_LABEL_SQL} || '|' || cast(value_num as varchar) as cells
+  from fact join buyer using (file_id, sheet, line_no) where any_month is not null),
+placed as (select *, row_number() over (partition by file_id, sheet, sub order by line_no, name) as n from dated_line),
+subs as (select file_id, sheet, count(distinct sub) as k, min(sub) as one from placed group by all),
+sale_line as (
+  select file_id, sheet, 1 + n as row_no, p.cells from placed p join subs using (file_id, sheet) where k = 1
+  union all
+  select file_id, sheet, 1 + g.n, coalesce(a.cells, '|||') || '|' || coalesce(b.cells, '|||')
+  from (select distinct file_id, sheet, n from placed join subs using (file_id, sheet) where k = 2) g
+  left join (select * from placed where sub = 1) a using (file_id, sheet, n) left join (select * from placed where sub = 2) b using (file_id, sheet, n)),
+filled as (select file_id, p_type, max(p_size % 2 = 0) as sized, min(line_no) filter (p_size % 2 = 0) as first_size from line group by all),
+part_line as (
+  select file_id + 1000 as file_id, p_type as sheet, line_no as row_no,
+    case when file_id % 2 = 0 then p_name || '|' || cast(cast(p_partkey as double) as varchar) else cast(p_partkey as varchar) || '|' || p_name end || '|'
+    || case when file_id % 2 = 0 and line_no = 2 then 's/ preço' else cast(p_retailprice as varchar) end
+    || case when file_id % 2 = 1 then '|' || case when p_size % 2 = 0 then cast(p_size as varchar) else '' end || '|'
+            when sized then '|' || case when p_size % 2 = 0 then cast(cast(p_size as double) as varchar) else '' end else '' end as cells
+  from line join filled using (file_id, p_type)),
+top as (
+  select file_id, sheet, case when k = 2 then 't1_Cliente|t1_Saldo|t1_Data|t1_Valor|t2_Cliente|t2_Saldo|t2_Data|t2_Valor' else 'Cliente|Saldo|Data|Valor' end as cells from subs
+  union all
+  select file_id + 1000, p_type, case when file_id % 2 = 1 then 'Peça Nº|Descrição Brand#' || file_id || '|Preço (R$)|Tamanho-médio|2024'
+    else (select string_agg(c, '|' order by l, c) from (values ('Descrição Brand#' || file_id, 2), ('Peça Nº', 2), ('Preço (R$)', 2), ('Tamanho-médio', first_size)) t(c, l) where l is not null) end
+  from filled)
+select file_id, sheet, cast(1 as bigint) as row_no, cells from top
+union all select file_id, sheet, row_no, cells from sale_line
+union all select file_id, sheet, row_no, cells from part_line"""
+
+
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     fact, files, _, _ = inputs.star_of_sales(spark, folder)
     return layers.files_with_facts(fact, files)
@@ -228,6 +290,7 @@ QUERIES = {
     "raw_only_sheets": (raw_only_sheets, RAW_ONLY_SQL),
     "file_sheet_counts": (file_sheet_counts, FILE_SHEET_SQL),
     "export_set": (export_set, EXPORT_SET_SQL),
+    "export_everything": (export_everything, EXPORT_EVERYTHING_SQL),
     "file_listing": (file_listing, FILE_LISTING_SQL),
     "sheet_listing": (sheet_listing, SHEET_LISTING_SQL),
     "column_listing": (column_listing, COLUMN_LISTING_SQL),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridloom.operators.blocks import block_of
 from gridloom.operators.grid import SHEET
@@ -77,3 +77,25 @@ def write_sheets(rows: DataFrame, layout: DataFrame, path: str, fmt: str = "csv"
             writer.parquet(target)
         out.append(target)
     return out
+
+
+def csv_line(cells: Column, sep: str = ";") -> Column:
+    """Cells as one CSV record; those with a separator, quote or line break are quoted."""
+    def field(c: Column) -> Column:
+        text = F.coalesce(c, F.lit(""))
+        return F.when(text.rlike(rf'[{sep}"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.array_join(F.transform(cells, field), sep)
+
+
+def write_csv_sheets(lines: DataFrame, path: str, sep: str = ";") -> None:
+    """All sheets (``reshape.export_lines``) as CSV in one job, whatever their columns: ``file_id=…/sheet=…/part=…``.
+
+    A part is a block of lines, one file with the sheet's header on top; within
+    it lines are in order. One shuffle serves parts, order and writer.
+    """
+    part = block_of("line_no").alias("part")
+    order = Window.partitionBy(*SHEET, "part").orderBy("line_no", "nth")
+    rows = lines.select(*SHEET, part, "line_no", "nth", csv_line(F.col("header"), sep).alias("_header"), csv_line(F.col("cells"), sep).alias("_line"))
+    topped = rows.withColumn("value", F.when(F.row_number().over(order) == 1, F.concat("_header", F.lit("\n"), "_line")).otherwise(F.col("_line")))
+    topped.select(*SHEET, "part", "value").write.mode("overwrite").partitionBy(*SHEET, "part").text(path)
