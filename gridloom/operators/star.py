@@ -37,11 +37,14 @@ def dim_date(headers: DataFrame, name: str = "name") -> DataFrame:
 def dim_column(fact: DataFrame, verdict: DataFrame, keep_verdict: bool = False) -> DataFrame:
     """Columns with at least one value. The first value decides the type of a fixed column; dates are numbers.
 
-    ``keep_verdict`` adds the load's ``is_date``. Only narrow fact columns are read,
-    and ``min_by`` combines before the shuffle.
+    ``keep_verdict`` adds the load's ``is_date``. Facts are read by a hash aggregate
+    over narrow columns: a line number and its value's kind make one long, least by
+    (column, file, sheet); only those few are compared across files.
     """
-    order = F.struct("line_no", "file_id", "sheet")
-    used = fact.groupBy("column_key").agg(F.min_by(F.col("value_text").isNotNull(), order).alias("_is_text"))
+    packed = F.min(2 * F.col("line_no") + F.col("value_text").isNotNull().cast("int")).alias("_p")
+    by_sheet = fact.groupBy("column_key", "file_id", "sheet").agg(packed)
+    order = F.struct(F.floor(F.col("_p") / 2), "file_id", "sheet")
+    used = by_sheet.groupBy("column_key").agg(F.min_by(F.col("_p") % 2 == 1, order).alias("_is_text"))
     names = verdict.select("schema_hash", "name", "is_date").distinct()
     known = names.withColumn("column_key", column_key(F.col("schema_hash"), F.col("name")))
     return known.join(used, "column_key").select(

@@ -9,7 +9,8 @@ from gridloom.operators.blocks import numbered
 from gridloom.operators.unpivot import rows_of_wide, tables_of_wide, unpivot_rows
 from gridloom.plans import inputs
 from gridloom.plans.inputs import table
-from gridloom.sources import sinks
+from gridloom.sources import importing, sinks
+from gridloom.sources.files import read_csv_grid
 
 
 def _version(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +91,75 @@ again as (select file_id, sheet, count(*) filter (c_custkey % 3 > 0 and sheet <>
 select file_id, sheet, cast(1 as bigint) as load, n as n_rows, file_id = 1 as is_current, n as n_stored from first
 union all select file_id, sheet, 2, n, true, n from again"""
 
+def _folder(spark: SparkSession, folder: str) -> str:
+    """Path of a folder of CSV files, one a nation, with a file of each kind that can't be read."""
+
+    def write(path: str) -> None:
+        v = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+        c = table(spark, folder, "customer").select(
+            F.col("c_nationkey").cast("int").alias("nation"), "c_custkey", F.concat("c_name", F.lit('\n"VIP"')).alias("Cliente"), v.alias("Saldo"),
+            F.when(F.col("c_custkey") % 2 == 0, v).alias("03/2024"),
+        )
+        placed = c.repartition("nation").sortWithinPartitions("nation", "c_custkey").drop("c_custkey")
+        placed.write.partitionBy("nation").option("sep", ";").option("header", "true").option("escape", '"').csv(f"{path}/in")
+        kinds = {101: "broken.csv", 102: "book.xlsx", 103: "book.xlsb"}
+        bad = c.groupBy().agg(F.count("*")).select(F.explode(F.array(*map(F.lit, kinds))).alias("nation"), F.lit('a;"b').alias("value"))
+        bad.write.partitionBy("nation").mode("append").text(f"{path}/in")
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for nation, name in kinds.items():
+            at = hadoop(f"{path}/in/nation={nation}")
+            system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            for status in system.listStatus(at):
+                system.rename(status.getPath(), hadoop(at, name))
+        importing.import_folder(spark, f"{path}/in", f"{path}/store")
+        importing.import_folder(spark, f"{path}/in", f"{path}/store")  # nothing is pending: nothing changes
+
+    return f"{inputs.stored(spark, folder, 'imported', write)}/store"
+
+
+def folder_to_star(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder imported in one call: each file's status, and the values of its columns."""
+    store = _folder(spark, folder)
+    number = F.col("value").try_cast("decimal(18,2)")
+    totals = importing.values_of(spark, store).groupBy("file_id", "name", "is_date").agg(F.count("*").alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("double").alias("total"))
+    files = importing.manifest_of(spark, store).select("file_id", F.regexp_extract("path", "/nation=([0-9]+)/", 1).cast("bigint").alias("nation"), "status")
+    return files.join(totals, "file_id", "left").drop("file_id")
+
+
+FOLDER_SQL = """
+with c as (select cast(c_nationkey as bigint) as nation, c_custkey, cast(c_acctbal as decimal(18,2)) as v from customer),
+cell as (
+  select nation, 'Cliente' as name, false as is_date, cast(0 as decimal(18,2)) as v from c
+  union all select nation, 'Saldo', false, v from c
+  union all select nation, '03/2024', true, v from c where c_custkey % 2 = 0)
+select nation, 'ingested' as status, name, is_date, count(*) as n, cast(sum(v) as double) as total from cell group by all
+union all select unnest([101, 102, 103]), 'error', null, null, null, null"""
+
+
+def folder_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The imported folder written as CSV and read back."""
+    store = _folder(spark, folder)
+    out = inputs.stored(spark, folder, "imported_out", lambda path: importing.export_folder(spark, store, path))
+    g = read_csv_grid(spark, out, numbers=False, glob="part-*")
+    files = importing.manifest_of(spark, store).select("file_id", F.regexp_extract("path", "/nation=([0-9]+)/", 1).cast("bigint").alias("nation"))
+    at = F.regexp_extract("path", "/file_id=([0-9]+)/", 1).cast("bigint").alias("file_id")
+    rows = g.select(at, "row_no", F.array_join(F.transform("cells", lambda c: c["txt"]), "|").alias("cells"))
+    return rows.join(files, "file_id").select("nation", "row_no", "cells")
+
+
+FOLDER_EXPORT_SQL = """
+with c as (
+  select cast(c_nationkey as bigint) as nation, c_custkey, c_name || chr(10) || '"VIP"' as name, cast(c_acctbal as varchar) as v,
+         count(*) filter (c_custkey % 2 = 0) over (partition by c_nationkey) as dated
+  from customer)
+select nation, cast(1 as bigint) as row_no, 'Cliente|Saldo' || case when max(dated) > 0 then '|Data|Valor' else '' end as cells from c group by nation
+union all
+select nation, 1 + row_number() over (partition by nation order by c_custkey), name || '|' || v || case when dated > 0 then '|mar/24|' || v else '' end
+from c where c_custkey % 2 = 0 or dated = 0"""
+
 QUERIES = {
+    "folder_to_star": (folder_to_star, FOLDER_SQL),
+    "folder_export": (folder_export, FOLDER_EXPORT_SQL),
     "changed_file_reload": (changed_file_reload, CHANGED_FILE_SQL),
     "load_ledger": (load_ledger, LOAD_LEDGER_SQL),
 }
