@@ -16,8 +16,8 @@ from gridloom.sources.layer import Layer
 from gridloom.sources.workbook import SCHEMA, read_workbooks
 
 MANIFEST = "file_id bigint, name string, path string, mtime timestamp, size bigint, status string"
-#: Listed, but there is no reader of theirs here; Parquet files have one of their own (``files.read_parquet_rows``).
-UNREAD = (".xlsb", ".parquet")
+#: Listed, but not read here; Parquet files have a reader of their own (``files.read_parquet_rows``).
+UNREAD = (".parquet",)
 
 
 def manifest_of(spark: SparkSession, store: str) -> DataFrame:
