@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from gridloom.operators.blocks import first_rows
 from gridloom.operators.grid import TABLE
+from gridloom.session import shared_folder
 
 FACT_KEY = ["file_id", "date_key", "column_key", "schema_hash", "sheet", "line_no"]
 KEEP_AUDIT = 50
+#: Hashes of repeated keys that are sent to every task at most; beyond it whole rows are grouped.
+SENT = 4_000_000
 
 
 def transformed(raw: DataFrame, fact: DataFrame) -> DataFrame:
@@ -26,18 +29,35 @@ def duplicate_groups(fact: DataFrame) -> DataFrame:
     return fact.groupBy(*FACT_KEY).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def dedupe(fact: DataFrame) -> DataFrame:
-    """Keep the earliest fact of each key (value not part of it).
-
-    A minimum combines on the map side, so even a key with a third of all copies
-    never gathers in one task, as it would under a window.
-    """
+def _first_of_key(fact: DataFrame) -> DataFrame:
+    """A minimum combines on the map side, so even a key with a third of all copies never gathers in one task, as it would under a window."""
     rest = ["load_no", "value_num", "value_text", "value_date"]
     return fact.groupBy(*FACT_KEY).agg(F.min(F.struct(*rest)).alias("_first")).select(
         *[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in fact.columns]
     )
 
 
+def dedupe(fact: DataFrame, sent: int = SENT) -> DataFrame:
+    """Keep the earliest fact of each key (value not part of it).
+
+    First only the keys' hashes are counted, a hash aggregate over eight bytes a
+    row. Rows whose hash occurs once are surely single and stay where they are;
+    the others are grouped whole, so two keys that share a hash do no harm. Hashes
+    that occur more often are written and counted: up to ``sent`` of them go to
+    every task, with more all rows are grouped. The result is the same.
+    """
+    spark = fact.sparkSession
+    hashed = fact.withColumn("_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in FACT_KEY]))
+    path = shared_folder(spark, "repeated")
+    hashed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key").write.parquet(path)
+    repeated = spark.read.schema("_key bigint").parquet(path)
+    if repeated.count() > sent:
+        return _first_of_key(fact)
+    few = F.broadcast(repeated)  # ``sent`` rows at most
+    single = hashed.join(few, "_key", "left_anti").select(*fact.columns)
+    return single.unionByName(_first_of_key(hashed.join(few, "_key", "left_semi").select(*fact.columns)))
+
+
 def retain(audit: DataFrame, order: list[Column], keep: int = KEEP_AUDIT, keys: list[str] = TABLE, spread: list[str] | None = None) -> DataFrame:
     """The first ``keep`` rows of each table in ``order`` (newest first)."""
     return first_rows(audit, keys, order, keep, spread or audit.columns, "_rank").drop("_rank")
@@ -76,3 +96,28 @@ def stats(raw: DataFrame, audit: DataFrame, fact: DataFrame, keep_raw: bool = Fa
         ],
         names,
     )
+
+
+def clean(
+    raw: DataFrame, audit: DataFrame, fact: DataFrame, path: str, order: list[Column],
+    keep_raw: bool = False, keep: int = KEEP_AUDIT, spread: list[str] | None = None,
+) -> DataFrame:
+    """Purge, retain and dedupe in one run: writes the layers anew below ``path`` (``raw``, ``audit``, ``fact``); returns ``stats`` of it.
+
+    What stays is counted by the tasks that write it (an ``Observation`` on the
+    last stage, where a repeated task counts once); what was there is the layer's
+    own count, which Parquet keeps in its footers. A layer that is written in place of
+    the old one is the caller's rename: nothing here touches the input.
+    """
+    steps = {
+        "raw": (raw, purge(raw, fact, keep_raw)),
+        "audit": (audit, retain(audit, order, keep, spread=spread)),
+        "fact": (fact, dedupe(fact)),
+    }
+    removed = {}
+    for name, (before, after) in steps.items():
+        seen = Observation(name)
+        after.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{name}")
+        removed[name] = before.count() - (seen.get.get("n") or 0)
+    row = (removed["raw"], removed["audit"], removed["fact"])
+    return raw.sparkSession.createDataFrame([row], "removed_raw bigint, removed_audit bigint, removed_duplicates bigint")

@@ -228,12 +228,19 @@ def _json_value(cell: Column) -> Column:
 
 
 def rows_from_json(rows: DataFrame, column: str = "row_data") -> DataFrame:
-    """Decode JSON objects to ``header`` (keys, in order) and ``cells``; other columns are kept."""
+    """Decode JSON objects to ``header`` (keys, in order) and ``cells``; other columns are kept.
+
+    Text that isn't a JSON object, or null, has an ``error``, no keys and no cells (empty arrays): an
+    ``inline`` drops it, so count it by ``error`` first.
+    """
     typed = F.expr(f"from_json({column}, 'map<string,variant>')")
     plain = F.expr(f"from_json({column}, 'map<string,string>')")
     return (
         rows.withColumn("_typed", typed)
         .withColumn("_plain", plain)
+        .withColumn("error", F.when(F.col("_typed").isNull(), F.when(F.col(column).isNull(), "no text").otherwise("not a JSON object")))
+        .withColumn("_typed", F.coalesce("_typed", F.expr("cast(map() as map<string,variant>)")))
+        .withColumn("_plain", F.coalesce("_plain", F.expr("cast(map() as map<string,string>)")))
         .withColumn("header", F.map_keys("_typed"))
         .withColumn("_v", F.map_values("_typed"))
         .withColumn("_s", F.map_values("_plain"))

@@ -164,6 +164,24 @@ from events
 """
 
 
+def json_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Event properties, some cut short, emptied, or no object: rows that can't be decoded stay, with an error and no cells."""
+    cut = F.col("event_id") % 7
+    props = F.when(cut == 1, F.expr("left(props, length(props) - 1)")).when(cut == 2, F.concat(F.lit("["), "props", F.lit("]"))).when(
+        cut == 3, F.lit("")
+    ).when(cut == 4, F.lit(None)).otherwise(F.col("props"))
+    d = grid.rows_from_json(table(spark, folder, "events").select("event_id", props.alias("row_data")))
+    return d.select("event_id", "error", F.size("cells").alias("n_cells"), F.size("header").alias("n_names"))
+
+
+JSON_ERRORS_SQL = """
+select event_id, case when event_id % 7 in (1, 2, 3) then 'not a JSON object' when event_id % 7 = 4 then 'no text' end as error,
+       case when event_id % 7 in (1, 2, 3, 4) then 0 else cast(len(json_keys(props)) as integer) end as n_cells,
+       case when event_id % 7 in (1, 2, 3, 4) then 0 else cast(len(json_keys(props)) as integer) end as n_names
+from events
+"""
+
+
 def json_encode(spark: SparkSession, folder: str) -> DataFrame:
     return grid.rows_as_json(*readback.parts(spark, folder)).select("file_id", "table_name", "line_no", "row_data")
 
@@ -359,6 +377,7 @@ QUERIES = {
     "ingest_documents": (ingest_documents, INGEST_DOCUMENTS_SQL),
     "keyed_rows": (keyed_rows, KEYED_ROWS_SQL),
     "json_rows": (json_rows, JSON_ROWS_SQL),
+    "json_errors": (json_errors, JSON_ERRORS_SQL),
     "json_encode": (json_encode, JSON_ENCODE_SQL),
     "list_files": (list_files, LIST_FILES_SQL),
     "header_change_readback": (header_change_readback, HEADER_CHANGE_SQL),

@@ -183,6 +183,19 @@ select file_id, sheet, line_no, cast(strftime(any_month, '%Y%m%d') as integer) a
 from fact, hash where any_month is not null"""
 
 
+def dim_column_inverted(spark: SparkSession, folder: str) -> DataFrame:
+    """The column of inverted mode for sales and part sheets together: only the sales' schema has date columns."""
+    layers = [inputs.sales(spark, folder), inputs.layers_of(spark, folder, "parts", _part_rows)]
+    verdicts = [detect.verdict(raw, detect.schemas(tables)) for raw, tables in layers]
+    layout = detect.layout(verdicts[0].unionByName(verdicts[1]))
+    return star.dim_column_inverted(layout, "Cliente Nº")
+
+
+DIM_COLUMN_INVERTED_SQL = f"""with {SALES_SQL}
+select md5(h || '|Cliente Nº') as column_key, h as schema_hash, 'Cliente Nº' as original_name, 'cliente_no' as normalized_name, 'text' as dtype
+from hash where exists (select 1 from dated)"""
+
+
 def star_view(spark: SparkSession, folder: str) -> DataFrame:
     """Fact with its three dimensions, by date and column."""
     view = star.star_view(*inputs.star_of_sales(spark, folder))
@@ -283,6 +296,7 @@ QUERIES = {
     "dim_column": (dim_column, DIM_COLUMN_SQL),
     "fact_typed_values": (fact_typed_values, FACT_TYPED_SQL),
     "sub_header_rows": (sub_header_rows, SUB_HEADER_SQL),
+    "dim_column_inverted": (dim_column_inverted, DIM_COLUMN_INVERTED_SQL),
     "inverted_mode": (inverted_mode, INVERTED_MODE_SQL),
     "star_view": (star_view, STAR_VIEW_SQL),
     "star_totals": (star_totals, STAR_TOTALS_SQL),

@@ -9,6 +9,7 @@ from gridloom.operators import catalog, cleanup, layers
 from gridloom.plans import inputs, readback
 from gridloom.plans.inputs import EVENT_SQL, SALES_SQL, table
 from gridloom.plans.readback import PART_SQL
+from gridloom.session import shared_folder
 
 
 def _versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -325,6 +326,24 @@ select (select count(*) from buyer) as removed_raw,
        (select cast(coalesce(sum(n - 50), 0) as bigint) from (select count(*) as n from events group by user_id, event_type) where n > 50) as removed_audit,
        (select count(*) from fact where line_no % 3 = 0) as removed_duplicates"""
 
+
+def cleanup_run(spark: SparkSession, folder: str) -> DataFrame:
+    """All three cleanings in one run: rows that each removed, as observed, and rows that the written layers hold."""
+    path = shared_folder(spark, "cleaned")
+    order = [F.desc("detected_at"), F.desc("event_id")]
+    raw, audit, fact = readback._all_raw(spark, folder), _event_audit(spark, folder), _copies(spark, folder)
+    removed = cleanup.clean(raw, audit, fact, path, order, spread=["event_id"])
+    left = layers.layer_counts({n: spark.read.parquet(f"{path}/{n}") for n in ("raw", "audit", "fact")})
+    each = F.expr("stack(3, 'raw', removed_raw, 'audit', removed_audit, 'fact', removed_duplicates) as (layer, removed)")
+    return removed.select(each).join(left.withColumnRenamed("n", "remaining"), "layer")
+
+
+CLEANUP_RUN_SQL = f"""with {SALES_SQL},
+kept as (select sum(least(n, 50)) as n from (select count(*) as n from events group by user_id, event_type))
+select 'raw' as layer, (select count(*) from buyer) as removed, (select count(*) from part) as remaining
+union all select 'audit', cast((select count(*) from events) - n as bigint), cast(n as bigint) from kept
+union all select 'fact', (select count(*) from fact where line_no % 3 = 0), (select count(*) from fact)"""
+
 QUERIES = {
     "schema_audit": (schema_audit, SCHEMA_AUDIT_SQL),
     "catalog_changes": (catalog_changes, CATALOG_CHANGES_SQL),
@@ -347,4 +366,5 @@ QUERIES = {
     "cleanup_transformed": (cleanup_transformed, CLEANUP_TRANSFORMED_SQL),
     "cleanup_diagnostic": (cleanup_diagnostic, CLEANUP_DIAGNOSTIC_SQL),
     "cleanup_stats": (cleanup_stats, CLEANUP_STATS_SQL),
+    "cleanup_run": (cleanup_run, CLEANUP_RUN_SQL),
 }

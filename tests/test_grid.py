@@ -143,6 +143,14 @@ def test_json_decode_keeps_order_and_types(spark):
     ]
 
 
+def test_json_that_is_no_object(spark):
+    texts = ['{"a": 1}', '{"a": 1', "[1]", "7", '"x"', "null", "", None, "{}", '{"a": {"b": 2}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, row_data string")
+    got = {r.i: (r.error, r.header, len(r.cells)) for r in grid.rows_from_json(rows).collect()}
+    assert [got[i][0] for i in range(10)] == [None, *["not a JSON object"] * 6, "no text", None, None]
+    assert all(got[i][1:] == ([], 0) for i in range(1, 9)) and got[0][1:] == (["a"], 1) and got[9][1] == ["a"]
+
+
 def test_workbooks_from_a_folder(spark, tmp_path):
     from datetime import date
 

@@ -226,6 +226,33 @@ def test_cleanup(spark):
     assert tuple(cleanup.stats(raw, audit, copies, keep_raw=True).first()) == (0, 10, 2)
 
 
+def test_dedupe_by_hashes_and_whole(spark):
+    """Equal results with and without the hashes of repeated keys; nulls in a key are equal; only rows that may repeat are shuffled."""
+    schema = "file_id bigint, date_key int, column_key string, schema_hash string, sheet string, line_no bigint, load_no bigint, value_num double, value_text string, value_date date"
+    once = [(1, 20250100 + i % 28, "k", "h", "s", i, 0, float(i), None, None) for i in range(300)]
+    again = [(1, 20250100 + i % 28, "k", "h", "s", i, 1, -1.0, None, None) for i in range(0, 300, 10)]
+    nulls = [(None, None, None, None, None, None, n, None, str(n), None) for n in (3, 2, None, 2)]
+    f = spark.createDataFrame(once + again + nulls, schema)
+    sent, whole = cleanup.dedupe(f), cleanup.dedupe(f, sent=0)
+    assert sorted(map(str, sent.collect())) == sorted(map(str, whole.collect()))
+    assert sent.count() == 301 and sent.filter("value_num < 0").count() == 0 and sent.columns == f.columns
+    assert cleanup.dedupe(f.limit(0)).count() == 0
+    plan = sent._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+def test_cleaning_in_one_run_counts_what_it_removed(spark, tmp_path):
+    raw, _, _, facts = load(spark, {(1, "s"): [["C", "01/2025"], ["x", 1]], (2, "u"): [["Z"], ["q"]]})
+    f = star.fact(facts).filter("sheet = 's'")
+    copies = f.unionByName(f.withColumn("load_no", F.lit(2).cast("bigint")))
+    audit = spark.createDataFrame([(1, "s", i) for i in range(60)], "file_id bigint, table_name string, at int")
+    for keep_raw in (False, True):
+        told = cleanup.clean(raw, audit, copies, str(tmp_path / str(keep_raw)), [F.desc("at")], keep_raw)
+        assert tuple(told.first()) == tuple(cleanup.stats(raw, audit, copies, keep_raw).first()) == (0 if keep_raw else 1, 10, 2)
+        assert [spark.read.parquet(str(tmp_path / str(keep_raw) / n)).count() for n in ("raw", "audit", "fact")] == [2 if keep_raw else 1, 50, 2]
+    assert tuple(cleanup.clean(raw.limit(0), audit.limit(0), copies.limit(0), str(tmp_path / "none"), [F.desc("at")]).first()) == (0, 0, 0)
+
+
 def test_manifest_life_cycle(spark):
     cols = "name string, path string, mtime timestamp, size bigint"
     t1, t2 = "2025-01-01 00:00:00", "2025-01-02 00:00:00"
