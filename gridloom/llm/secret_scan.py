@@ -5,7 +5,10 @@ each kind: ``assign``, ``access``, ``hex``. On top of them an assignment-aware
 lexer reads source and configuration syntax into pairs of name and value:
 quoted literals, bare words, names, and sums of them. Literals of constants are
 carried to the names that use them; a literal is scored by the most telling
-name it reaches and by its look, and becomes a span of kind ``literal``.
+name it reaches and by its look, and becomes a span of kind ``literal``. A sum
+is scored by its joined value, each part is a span; a sum of more than
+``PARTS`` parts is scored part by part. Quoted literals with blanks count where
+the name is strong (``STRONG``) and they hold a digit, or the name says passphrase.
 
 All spans are half-open, in code points. Texts are read whole, row by row, in
 tasks without a shuffle. Nulls: a null text is empty and has no spans. Repeated
@@ -40,6 +43,10 @@ OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*", re.ASCII)
 PLUS = re.compile(r"[ \t]*\+")
 THRESHOLD = 2.5
+STRONG = 2.0
+PARTS = 64
+
+Literal = tuple[int, int, bool]  # begin, end, quoted
 
 
 def entropy(text: str) -> float:
@@ -50,49 +57,62 @@ def name_weight(name: str) -> float:
     return sum({w: NAMES[w] for w in map(str.lower, NAME_WORD.findall(name)) if w in NAMES}.values())
 
 
-def literal_weight(text: str, quoted: bool) -> float:
-    """0 to 2: long, mixed and irregular literals weigh more. A bare word needs a digit."""
-    if len(text) < 6 or " " in text or not quoted and not re.search("[0-9]", text):
+def literal_weight(text: str, quoted: bool, name: str = "") -> float:
+    """0 to 2: long, mixed and irregular literals weigh more. A bare word needs a digit, one with blanks a strong name too."""
+    digit = re.search("[0-9]", text)
+    if len(text) < 6 or not quoted and not digit:
+        return 0.0
+    if " " in text and not (quoted and ("passphrase" in name.lower() or digit and name_weight(name) >= STRONG)):
         return 0.0
     classes = sum(bool(re.search(c, text)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(2.0, 0.5 * (len(text) >= 8) + 0.5 * (entropy(text) >= 2.5) + 0.25 * classes)
 
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]], list[str]]]:
-    """Assignments in order: name, its literals (begin, end, quoted), names whose values it uses."""
+def pairs(text: str) -> list[tuple[str, list[tuple[Literal | None, str | None]]]]:
+    """Assignments in order: name, and the summed operands; each a literal, the name of a value, or (a word with a digit) both."""
     out, at = [], 0
     while (m := TARGET.search(text, at)) is not None:
-        literals, used, p = [], [], m.end()
+        operands, p = [], m.end()
         while (o := OPERAND.match(text, p)) is not None:
             k = o.lastindex or 3
             word = o[k] or ""
-            if k == 3 and IDENTIFIER.fullmatch(word):
-                used.append(word)
-            if k < 3 or word not in used or re.search("[0-9]", word):
-                literals.append((o.start(k), o.end(k), k < 3))
+            name = word if k == 3 and IDENTIFIER.fullmatch(word) else None
+            literal = (o.start(k), o.end(k), k < 3) if name is None or re.search("[0-9]", word) else None
+            operands.append((literal, name))
             p = o.end()
             if (plus := PLUS.match(text, p)) is None:
                 break
             p = plus.end()
-        out.append((m["name"], literals, used))
+        out.append((m["name"], operands))
         at = p
     return out
 
 
+def values(operands: list[tuple[Literal | None, str | None]], held: dict[str, set[tuple[Literal, ...]]]) -> set[tuple[Literal, ...]]:
+    """The values that a sum may have, as runs of literals: one joined run where each operand has one value, else those of each."""
+    each = [held[name] if name in held else {(literal,)} if literal else set() for literal, name in operands]
+    if all(len(e) == 1 for e in each):
+        joined = tuple(part for e in each for run in e for part in run)
+        if len(joined) <= PARTS:
+            return {joined} if joined else set()
+        return {(part,) for part in joined}
+    return set().union(*each)
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name, by themselves or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, set[tuple[int, int, bool]]] = {}
+    held: dict[str, set[tuple[Literal, ...]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, literals, used in pairs(text):
-        reached = set(literals).union(*(held.get(u, ()) for u in used))
-        held[name] = reached
+    for name, operands in pairs(text):
+        held[name] = values(operands, held)
         if weight := name_weight(name):
-            for begin, end, quoted in reached:
-                own = literal_weight(text[begin:end], quoted)
-                if own:
-                    best[begin, end] = max(best.get((begin, end), 0.0), weight + own)
+            for run in held[name]:
+                own = literal_weight("".join(text[begin:end] for begin, end, _ in run), any(q for _, _, q in run), name)
+                for begin, end, _ in run if own else ():
+                    if end > begin:
+                        best[begin, end] = max(best.get((begin, end), 0.0), weight + own)
     return sorted(s for s, score in best.items() if score >= THRESHOLD)
 
 
