@@ -23,6 +23,7 @@ row is its own neighbour. No rows give no rows. Other columns play no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -89,18 +90,25 @@ def within(queries: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks:
 def neighbours(documents: DataFrame) -> DataFrame:
     """Rows in descending id, each with its successor: range, place, again, doc_id, text, n_chars, next (null for rows that only end a range).
 
-    ``again`` marks the rows that a range gets from the one after it.
+    ``again`` marks the rows that a range gets from the one after it. An id (or null)
+    that fills several ranges by itself is cut by its texts' hashes, the order inside it.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     key = F.coalesce("doc_id", F.lit(LOWEST))
     n = 4 * partitions(documents.sparkSession)
     edges = rows.select(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n)).first()[0] or []
+    full = {e: m for e, m in Counter(edges).items() if m > 1}  # ids that hold m - 1 ranges' rows and more
     edges = sorted(set(edges))
     # The count of edges below the id: first among every side-th edge, then in the stretch after it.
     held, side = F.array(*[F.lit(e) for e in edges]).cast("array<bigint>"), max(1, int(len(edges) ** 0.5))
     below = lambda some: F.size(F.filter(some, lambda e: e < key))
     stretch = below(F.array(*[F.lit(e) for e in edges[side - 1 :: side]]).cast("array<bigint>"))
     range_ = stretch * side + below(F.slice(held, stretch * side + 1, F.lit(side))) if edges else F.lit(0)
+    if full:
+        # Inside such an id the lower hash comes first, so it has the higher number; the ids below it in its range have part 0.
+        parts = F.create_map(*[F.lit(v).cast("long") for pair in full.items() for v in pair])[key]
+        part = parts - F.least(parts - 1, F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts))
+        range_ = range_ * (n + 1) + F.coalesce(part, F.lit(0)).cast("int")
     rows = rows.withColumn("range", range_)
     first = rows.groupBy("range").agg(F.max(F.struct(key.alias("k"), F.bitwise_not("h").alias("m"))).alias("f"))
     first = [(r["range"], r["f"]["k"], ~r["f"]["m"]) for r in first.orderBy("range").collect()]  # a row per range
@@ -111,7 +119,7 @@ def neighbours(documents: DataFrame) -> DataFrame:
         return rows.withColumns({"again": F.lit(False), "place": F.lit(0), "n_chars": F.length("text"), "next": F.col("text")})
     spark = documents.sparkSession
     small = F.broadcast(spark.createDataFrame(ghosts, "range int, k long, h long"))  # a row per range
-    again = rows.drop("range").withColumn("k", key).join(small, ["k", "h"]).select("doc_id", "text", "h", "range", F.lit(True).alias("again"))
+    again = rows.drop("range").withColumn("k", key).join(small, ["k", "h"]).select("doc_id", "text", "h", "range", F.lit(True).alias("again")).distinct()
     both = rows.select("doc_id", "text", "h", "range", F.lit(False).alias("again")).unionByName(again)
     order = W.partitionBy("range").orderBy("again", F.desc_nulls_last("doc_id"), "h", "text")
     return both.select("*", F.lead("text").over(order).alias("next"), F.row_number().over(order).alias("place"), F.length("text").cast("long").alias("n_chars"))
