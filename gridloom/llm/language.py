@@ -27,9 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.arrow import annotated, blocks, buffers, remainder, text_of
-from gridloom.llm.learning import platt, sigmoid
+from gridloom.llm.learning import first_of, platt, sigmoid
 
 PER_LANGUAGE, TOTAL = 700, 5000
 TRIPLES, DOUBLES = 3072, 1024
@@ -175,13 +176,14 @@ def learn(documents: DataFrame, folds: int = 3, held: int = 1) -> Languages:
         return fit(np.zeros((0, TRIPLES + DOUBLES), np.float32), [])
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, 1e6 * min(1.0, min(PER_LANGUAGE, TOTAL / len(counts)) / n))])
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share[F.col("lang")])
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TOTAL + TOTAL // 5).select("text", "lang")
+    some = some.select("doc_id", "text", "lang")
 
     def run(batches):
         for block in blocks(batches, "text", 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in shares(text_of(block.column("text")))], pa.binary()), block.column("lang")], ["x", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in shares(text_of(block.column("text")))], pa.binary()), block.column("lang"), block.column("doc_id")], ["x", "lang", "doc_id"])
 
-    rows = some.mapInArrow(run, "x binary, lang string").toLocalIterator()
+    features = some.mapInArrow(run, T.StructType.fromDDL("x binary, lang string").add(some.schema["doc_id"]))
+    rows = first_of(features, TOTAL + TOTAL // 5).toLocalIterator()
     x, lang = [], []
     for r in rows:
         x.append(np.frombuffer(r.x, np.float32))

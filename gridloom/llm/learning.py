@@ -11,10 +11,18 @@ SAMPLE = 12_000
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, train, limit: int = SAMPLE) -> DataFrame:
-    """Text and label ``y`` of at most ``limit`` documents, by hash of the id. Null labels and ids don't count; of several labels the largest holds."""
+    """doc_id, text and label ``y`` of documents with one of ``limit`` ids, by hash of the id. Null labels and ids don't count; of several labels the largest holds.
+
+    Rows stay where they are: make features of them, then take ``first_of`` these, so that texts never meet in one task.
+    """
     own = labels.filter(train & F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     some = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", "y")
+    return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+
+
+def first_of(features: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """At most ``limit`` feature rows (an id may have several documents), by hash of the id."""
+    return features.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).drop("doc_id")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

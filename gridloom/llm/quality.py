@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.arrow import annotated, blocks, buffers, remainder, text_of
-from gridloom.llm.learning import labelled_sample, platt, sigmoid
+from gridloom.llm.learning import first_of, labelled_sample, platt, sigmoid
 from gridloom.llm.words import GRAPHIC, mix, words
 
 #: Byte classes, one bit each.
@@ -123,9 +124,9 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", fold
 
     def run(batches):
         for block in blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(list(statistics(text_of(block.column("text")))), pa.list_(pa.float64())), block.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(statistics(text_of(block.column("text")))), pa.list_(pa.float64())), block.column("y"), block.column("doc_id")], ["x", "y", "doc_id"])
 
-    rows = sample.mapInArrow(run, "x array<double>, y int").collect()  # SAMPLE rows at most
+    rows = first_of(sample.mapInArrow(run, T.StructType.fromDDL("x array<double>, y int").add(sample.schema["doc_id"]))).collect()  # SAMPLE rows at most
     return fit(np.array([r.x for r in rows]).reshape(len(rows), FEATURES), np.array([r.y for r in rows], float))
 
 

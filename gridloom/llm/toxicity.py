@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.arrow import annotated, blocks, remainder, text_of
-from gridloom.llm.learning import labelled_sample, sigmoid
+from gridloom.llm.learning import first_of, labelled_sample, sigmoid
 from gridloom.llm.words import words
 
 GRADES, TERMS = 3, 1000
@@ -116,9 +117,9 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5) -> Ordinal:
             row, h, count = terms(text_of(block.column("text")))
             at = np.searchsorted(row, np.arange(block.num_rows + 1))
             pairs = [(h[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), block.column("y")], ["h", "n", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), block.column("y"), block.column("doc_id")], ["h", "n", "y", "doc_id"])
 
-    rows = sample.mapInArrow(run, "h binary, n binary, y int").collect()  # SAMPLE rows at most
+    rows = first_of(sample.mapInArrow(run, T.StructType.fromDDL("h binary, n binary, y int").add(sample.schema["doc_id"]))).collect()  # SAMPLE rows at most
     return fit([(np.frombuffer(r.h, np.uint64), np.frombuffer(r.n, np.int32)) for r in rows], np.array([r.y for r in rows], float))
 
 
