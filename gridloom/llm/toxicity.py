@@ -211,7 +211,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5) -> Ordinal:
             yield pa.RecordBatch.from_arrays([*lists, block.column("y"), block.column("doc_id")], ["h", "n", "y", "doc_id"])
 
     made = first_of(sample.mapInArrow(run, T.StructType.fromDDL("h array<int>, n array<int>, y int").add(sample.schema["doc_id"])))
-    made = stored(made.repartition(partitions(spark), F.xxhash64("h")), "toxicity-sample")
+    made = stored(made.repartition(partitions(spark)), "toxicity-sample")
     kept = Ordinal(telling(made), np.zeros(0), np.zeros(0))
 
     def pick(batches):
