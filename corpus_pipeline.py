@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A fitted classifier and a packing program aren't SQL; tests/llm holds operators against brute force, not yet the chain of stages.
+#: A fitted classifier and a packing program are not SQL; tests/llm/test_pipeline.py holds every stage and the chain against brute force.
 ORACLE_SQL = None
 
 
