@@ -24,6 +24,28 @@ def blank_row(cells: Column) -> Column:
     return F.coalesce(F.forall(cells, lambda c: (c["kind"] == "blank") | (~c["kind"].isin("number", "bool") & is_blank(c["txt"]))), F.lit(True))
 
 
+#: Between the texts of a packed row; a row with a text that holds it is not packed.
+_BETWEEN = "\0"
+
+
+def packed(grid: DataFrame) -> DataFrame:
+    """Rows for a shuffle: of a row of text cells only the texts, as one string ``_texts``; other rows keep their ``cells``.
+
+    A cell of a word is several times as large as the word, in a shuffle as in a sort.
+    """
+    alike = F.forall("cells", lambda c: (c["kind"] == "text") & c["num"].isNull() & c["txt"].isNotNull() & ~c["txt"].contains(_BETWEEN))
+    marked = grid.withColumn("_alike", F.coalesce((F.size("cells") > 0) & alike, F.lit(False)))
+    texts = F.array_join(F.transform("cells", lambda c: c["txt"]), _BETWEEN)
+    return marked.withColumn("_texts", F.when(F.col("_alike"), texts)).withColumn("cells", F.when(~F.col("_alike"), F.col("cells"))).drop("_alike")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The rows as they were before ``packed``."""
+    kind = rows.schema["cells"].dataType
+    cells = F.transform(F.split("_texts", _BETWEEN), lambda t: F.struct(F.lit("text").alias("kind"), F.lit(None).cast("double").alias("num"), t.alias("txt")))
+    return rows.withColumn("cells", F.when(F.col("_texts").isNotNull(), cells.cast(kind)).otherwise(F.col("cells"))).drop("_texts")
+
+
 def _segmented(grid: DataFrame, min_rows: int, block: int) -> DataFrame:
     """Per block of rows: its runs of non-blank rows (array ``_runs``, each in the block of the blank row that ends it), and of its
     sheet ``_total`` runs, of which ``_upto`` lie before; ``_start``, ``_end``, and whether the block ``_closes`` the sheet.
@@ -104,10 +126,10 @@ def parse_sub_table(name: Column) -> tuple[Column, Column]:
 
 def tables(grid: DataFrame, extents: DataFrame) -> DataFrame:
     """Extents with header, schema hash and shape (one row per table)."""
-    first = grid.select(*SHEET, F.col("row_no").cast("bigint").alias("start_row"), "cells")
+    first = packed(grid.select(*SHEET, F.col("row_no").cast("bigint").alias("start_row"), "cells"))
     header = F.transform("cells", header_text)
     return (
-        extents.join(first, [*SHEET, "start_row"])
+        unpacked(extents.join(first, [*SHEET, "start_row"]))
         .withColumn("header", header)
         .select(
             *SHEET, "table_no", "table_name", "start_row", "end_row", "header",
@@ -133,16 +155,16 @@ def raw_rows(grid: DataFrame, tables: DataFrame, block: int = BLOCK) -> DataFram
         *SHEET, "_blk", F.greatest("start_row", F.col("_blk") * block).alias("row_no"), F.lit(0).alias("_row"),
         F.struct("table_name", "start_row", "end_row", "schema_hash", "n_cols").alias("_table"),
     )
-    rows = grid.select(
+    rows = packed(grid).select(
         *SHEET, block_of("row_no", block).alias("_blk"), F.col("row_no").cast("bigint").alias("row_no"),
-        F.lit(1).alias("_row"), "cells",
+        F.lit(1).alias("_row"), "cells", "_texts",
     )
     window = Window.partitionBy(*SHEET, "_blk").orderBy("row_no", "_row").rowsBetween(Window.unboundedPreceding, 0)
     tagged = rows.unionByName(marks, allowMissingColumns=True).withColumn(
         "_table", F.last("_table", ignorenulls=True).over(window)
     )
     return (
-        tagged.filter("_row = 1 and row_no > _table.start_row and row_no <= _table.end_row")
+        unpacked(tagged.filter("_row = 1 and row_no > _table.start_row and row_no <= _table.end_row"))
         .select(
             "file_id",
             F.col("_table.table_name").alias("table_name"),
