@@ -9,7 +9,8 @@ rewritten, and a ledger of which (file, sheet) came with which load:
 A load is one write of its rows and one small write of the next ledger, which
 takes effect by the rename of its folder. A job that dies before the rename
 leaves the layer as it was; what it wrote is not in any ledger, and the next
-load writes over it. Reading takes the rows of the loads up to the last ledger,
+load writes over it (``_staged-…`` beside them holds rows on their way, and is
+dropped once they are written). Reading takes the rows of the loads up to the last ledger,
 less those of superseded sheets (an anti join with the few that are). ``compact``
 writes the rows that still count once more and drops the rest.
 
@@ -19,10 +20,13 @@ One writer at a time; the file system must rename a folder in one step.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _PLACE = ["load", "bucket"]
+#: Values that a task sorts by folder: a few hundred MB of cells, less of plain columns.
+VALUES = 1 << 22
 
 
 class Layer:
@@ -105,13 +109,26 @@ class Layer:
         return number
 
     def _write(self, rows: DataFrame, number: int) -> None:
-        """One shuffle, by bucket, that splits what is large and joins what is small; no rows leave an empty folder."""
+        """Rows by bucket, in tasks of bounded size; no rows leave an empty folder.
+
+        A writer sorts its rows by folder, unpacked, which takes many times their
+        bytes in a shuffle (wide sheets: twenty times), so splitting by those doesn't
+        bound a task. Rows are put down as they come, their values counted, then
+        dealt by ranges to as many tasks as the values ask for.
+        """
         target = f"{self.path}/rows/load={number}"
         system, folder = self._folder(f"rows/load={number}")
         system.delete(folder, True)  # of a load that never took effect
         system.mkdirs(folder)
-        bucketed = rows.withColumn("bucket", F.coalesce(F.substring("schema_hash", 1, 2), F.lit("none")))
-        bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(target)
+        name = f"_staged-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{name}")
+        staged = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+        values = reduce(Column.__add__, [F.coalesce(F.size(f.name), F.lit(1)) if isinstance(f.dataType, T.ArrayType) else F.lit(1) for f in rows.schema])
+        total = staged.agg(F.sum(values.cast("bigint"))).first()[0] or 0
+        bucketed = staged.withColumn("bucket", F.coalesce(F.substring("schema_hash", 1, 2), F.lit("none")))
+        dealt = bucketed.repartitionByRange(total // VALUES + 1, "bucket", *self.key, "line_no")
+        dealt.write.mode("append").partitionBy("bucket").parquet(target)
+        system.delete(self._folder(name)[1], True)
 
     def _commit(self, ledger: DataFrame, number: int) -> None:
         name = f"ledger/_next-{uuid.uuid4().hex}"

@@ -23,3 +23,12 @@ def test_rows_of_texts_are_packed_and_come_back(spark):
     back = grid.unpacked(sent)
     assert back.schema["cells"].dataType == g.schema["cells"].dataType
     assert {r.row_no: r.cells for r in back.collect()} == {r.row_no: r.cells for r in g.collect()}
+
+
+def test_a_schema_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layers, "VALUES", 300)
+    stored = Layer(spark, str(tmp_path / "layer"), "file_id bigint, sheet string, line_no bigint, schema_hash string")
+    stored.load(spark.range(500).select(F.lit(1).cast("bigint").alias("file_id"), F.lit("s").alias("sheet"), (F.col("id") + 2).alias("line_no"), F.lit("h1").alias("schema_hash")))
+    assert len(list((tmp_path / "layer/rows/load=1/bucket=h1").glob("*.parquet"))) > 1
+    assert sorted(r.line_no for r in stored.read().collect()) == list(range(2, 502))
+    assert sorted(p.name for p in (tmp_path / "layer").iterdir() if not p.name.startswith(".")) == ["ledger", "rows"]
