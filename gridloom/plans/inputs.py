@@ -37,17 +37,20 @@ def months(orders: DataFrame) -> list[str]:
     return [f"{(low.month - 1 + i) % 12 + 1:02d}/{low.year + (low.month - 1 + i) // 12}" for i in range(n)]
 
 
+#: Orders to a task of the pivot: a customer's row is a hundred times as wide as an order.
+PIVOTED = 1 << 18
+
+
 def monthly_sales(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    """Customer × month, a real wide DataFrame; the pivot values are given."""
+    """Customer × month, a real wide DataFrame; the pivot values are given.
+
+    Sums are combined before they are dealt by customer, to as many tasks as the orders ask for.
+    """
     orders = table(spark, folder, "orders")
     headers = months(orders)
-    wide = (
-        orders.select("o_custkey", F.date_format("o_orderdate", "MM/yyyy").alias("month"), "o_totalprice")
-        .groupBy("o_custkey")
-        .pivot("month", headers)
-        .agg(money("o_totalprice"))
-    )
-    return wide, headers
+    monthly = orders.groupBy("o_custkey", F.date_format("o_orderdate", "MM/yyyy").alias("month")).agg(money("o_totalprice").alias("v"))
+    dealt = monthly.repartition(orders.count() // PIVOTED + 1, "o_custkey")
+    return dealt.groupBy("o_custkey").pivot("month", headers).agg(F.first("v")), headers
 
 
 # Layers written in this process, by application, data folder and name.

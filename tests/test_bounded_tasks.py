@@ -32,3 +32,12 @@ def test_a_schema_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "layer/rows/load=1/bucket=h1").glob("*.parquet"))) > 1
     assert sorted(r.line_no for r in stored.read().collect()) == list(range(2, 502))
     assert sorted(p.name for p in (tmp_path / "layer").iterdir() if not p.name.startswith(".")) == ["ledger", "rows"]
+
+
+def test_months_are_pivoted_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inputs, "PIVOTED", 2)
+    rows = [(1, "1998-01-05", 1.1), (1, "1998-01-06", 2.2), (1, "1998-03-01", 5.0), (2, "1998-02-01", 7.0), (None, "1998-02-01", 3.0), (3, "1998-02-01", None)]
+    spark.createDataFrame(rows, "o_custkey bigint, d string, o_totalprice double").withColumn("o_orderdate", F.to_timestamp("d")).write.parquet(f"{tmp_path}/orders.parquet")
+    wide, headers = inputs.monthly_sales(spark, str(tmp_path))
+    assert headers == ["01/1998", "02/1998", "03/1998"] and "REPARTITION_BY_NUM" in plan(wide)
+    assert sorted(map(tuple, wide.collect()), key=str) == sorted([(1, 3.3, None, 5.0), (2, None, 7.0, None), (None, None, 3.0, None), (3, None, None, None)], key=str)
