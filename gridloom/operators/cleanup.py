@@ -12,6 +12,10 @@ FACT_KEY = ["file_id", "date_key", "column_key", "schema_hash", "sheet", "line_n
 KEEP_AUDIT = 50
 #: Hashes of repeated keys that are sent to every task at most; beyond it whole rows are grouped.
 SENT = 4_000_000
+#: Facts to a task that counts keys: each is held unpacked, with its key.
+COUNTED = 1 << 19
+#: Tasks that the facts of a key are dealt to at most.
+WAYS = 256
 
 
 def transformed(raw: DataFrame, fact: DataFrame) -> DataFrame:
@@ -25,8 +29,17 @@ def purge(raw: DataFrame, fact: DataFrame, keep_raw: bool = False) -> DataFrame:
 
 
 def duplicate_groups(fact: DataFrame) -> DataFrame:
-    """Keys with more than one fact; null dates group together."""
-    return fact.groupBy(*FACT_KEY).agg(F.count("*").alias("n")).filter("n > 1")
+    """Keys with more than one fact; null dates group together.
+
+    Nearly all keys differ, so an aggregate before the shuffle would hold a whole
+    split of the file. Facts are dealt by key first, to as many tasks as they ask
+    for; those of one key come from many splits and go to ``WAYS`` tasks.
+    """
+    rest = [c for c in fact.columns if c not in FACT_KEY]
+    way = F.pmod(F.xxhash64(F.spark_partition_id(), *rest), F.lit(WAYS)).alias("_way")
+    tasks = fact.count() // COUNTED + 1
+    part = fact.select(*FACT_KEY, way).repartition(tasks, *FACT_KEY, "_way").groupBy(*FACT_KEY, "_way").agg(F.count("*").alias("n"))
+    return part.repartition(tasks, *FACT_KEY).groupBy(*FACT_KEY).agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def _first_of_key(fact: DataFrame) -> DataFrame:

@@ -41,3 +41,14 @@ def test_months_are_pivoted_by_many_tasks(spark, tmp_path, monkeypatch):
     wide, headers = inputs.monthly_sales(spark, str(tmp_path))
     assert headers == ["01/1998", "02/1998", "03/1998"] and "REPARTITION_BY_NUM" in plan(wide)
     assert sorted(map(tuple, wide.collect()), key=str) == sorted([(1, 3.3, None, 5.0), (2, None, 7.0, None), (None, None, 3.0, None), (3, None, None, None)], key=str)
+
+
+FACT = "load_no bigint, file_id bigint, date_key int, column_key string, sheet string, line_no bigint, value_num double, schema_hash string"
+
+
+def test_keys_are_counted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cleanup, "COUNTED", 4)
+    rows = [(0, 1, None, "a", "s", 2, 1.0, "h")] * 9 + [(1, 1, None, "a", "s", 2, 5.0, "h"), (0, 1, 3, "a", "s", 2, 1.0, "h"), (0, None, 3, "a", "s", 2, 1.0, "h"), (1, None, 3, "a", "s", 2, 1.0, "h")]
+    found = cleanup.duplicate_groups(spark.createDataFrame(rows, FACT))
+    assert "REPARTITION_BY_NUM" in plan(found)
+    assert sorted((r.file_id or 0, r.date_key or 0, r.n) for r in found.collect()) == [(0, 3, 2), (1, 0, 10)]
