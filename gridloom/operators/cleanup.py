@@ -14,18 +14,25 @@ KEEP_AUDIT = 50
 SENT = 4_000_000
 #: Facts to a task that counts keys: each is held unpacked, with its key.
 COUNTED = 1 << 19
-#: Tasks that the facts of a key are dealt to at most.
+#: Tasks that the facts of a key, or the rows of a schema, are dealt to at most.
 WAYS = 256
 
 
+def _of_schemas(raw: DataFrame, fact: DataFrame, how: str) -> DataFrame:
+    """Rows with (or without) a schema that has facts. A schema may hold all rows, so they meet copies of its hash in ``WAYS`` tasks."""
+    place = [c for c in (*TABLE, "sheet", "line_no") if c in raw.columns]
+    known = fact.select("schema_hash").distinct().withColumn("_way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(WAYS - 1).cast("bigint"))))
+    return raw.withColumn("_way", F.pmod(F.xxhash64(*place), F.lit(WAYS).cast("bigint"))).join(known, ["schema_hash", "_way"], how).drop("_way")
+
+
 def transformed(raw: DataFrame, fact: DataFrame) -> DataFrame:
     """Raw rows whose schema already has facts."""
-    return raw.join(fact.select("schema_hash").distinct(), "schema_hash", "left_semi")
+    return _of_schemas(raw, fact, "left_semi")
 
 
 def purge(raw: DataFrame, fact: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Raw rows that remain after the transformed ones are dropped."""
-    return raw if keep_raw else raw.join(fact.select("schema_hash").distinct(), "schema_hash", "left_anti")
+    return raw if keep_raw else _of_schemas(raw, fact, "left_anti")
 
 
 def duplicate_groups(fact: DataFrame) -> DataFrame:

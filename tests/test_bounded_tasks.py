@@ -52,3 +52,11 @@ def test_keys_are_counted_by_many_tasks(spark, monkeypatch):
     found = cleanup.duplicate_groups(spark.createDataFrame(rows, FACT))
     assert "REPARTITION_BY_NUM" in plan(found)
     assert sorted((r.file_id or 0, r.date_key or 0, r.n) for r in found.collect()) == [(0, 3, 2), (1, 0, 10)]
+
+
+def test_rows_of_a_schema_meet_its_facts_in_many_tasks(spark):
+    raw = spark.range(100).select(F.lit(1).cast("bigint").alias("file_id"), F.lit("t").alias("table_name"), F.col("id").alias("line_no"), F.when(F.col("id") < 90, "h").when(F.col("id") < 95, "g").alias("schema_hash"))
+    fact = spark.createDataFrame([("h",), ("h",), (None,)], "schema_hash string")
+    gone, left = cleanup.transformed(raw, fact), cleanup.purge(raw, fact)
+    assert gone.count() == 90 and left.count() == 10 and set(left.columns) == set(raw.columns)
+    assert "_way" in plan(gone) and "_way" in plan(left)
