@@ -125,11 +125,14 @@ def parse_sub_table(name: Column) -> tuple[Column, Column]:
 
 
 def tables(grid: DataFrame, extents: DataFrame) -> DataFrame:
-    """Extents with header, schema hash and shape (one row per table)."""
+    """Extents with header, schema hash and shape (one row per table).
+
+    The grid is never sent whole, however small its files are: both sides are dealt by key.
+    """
     first = packed(grid.select(*SHEET, F.col("row_no").cast("bigint").alias("start_row"), "cells"))
     header = F.transform("cells", header_text)
     return (
-        unpacked(extents.join(first, [*SHEET, "start_row"]))
+        unpacked(extents.join(first.hint("merge"), [*SHEET, "start_row"]))
         .withColumn("header", header)
         .select(
             *SHEET, "table_no", "table_name", "start_row", "end_row", "header",

@@ -17,6 +17,8 @@ from gridloom.operators.blocks import running_sum
 from gridloom.operators.grid import SHEET, TABLE, parse_sub_table, with_columns
 
 LINE = [*SHEET, "line_no"]
+#: Columns that are sent to every task at most; more of them meet the facts as Spark sees fit.
+SENT = 1 << 18
 
 
 def value_of_fact() -> Column:
@@ -24,15 +26,20 @@ def value_of_fact() -> Column:
     return F.coalesce(number_text(F.col("value_num")), F.col("value_text"))
 
 
-def named_values(fact: DataFrame, columns: DataFrame, dates: str = "name") -> DataFrame:
+def few(columns: DataFrame) -> bool:
+    return columns.count() <= SENT
+
+
+def named_values(fact: DataFrame, columns: DataFrame, dates: str = "name", sent: bool | None = None) -> DataFrame:
     """Facts with their column's name and text value.
 
     ``dates='name'`` tests the header again; ``'verified'`` believes the load: its
     verdict in ``columns`` (``dim_column(..., keep_verdict=True)``), which also
-    holds for accepted headers of impossible dates.
+    holds for accepted headers of impossible dates. Columns are ``sent`` to the
+    facts if they are ``few``: facts compress so well that Spark would send them.
     """
     named = columns.select("column_key", F.col("original_name").alias("name"), *(["is_date"] if dates != "name" else []))
-    joined = fact.join(named, "column_key")
+    joined = fact.join(F.broadcast(named) if (few(columns) if sent is None else sent) else named, "column_key")
     is_date = is_date_header(F.col("name"), trimmed=False) if dates == "name" else F.col("is_date")
     return joined.select(*LINE, "load_no", "name", value_of_fact().alias("value"), is_date.alias("is_date"))
 

@@ -51,7 +51,8 @@ def _loaded_twice(spark: SparkSession, folder: str) -> str:
 
 def _named(spark: SparkSession, path: str) -> DataFrame:
     fact = sinks.read_facts(spark, f"{path}/fact")
-    return reshape.named_values(fact, star.dim_column(fact, spark.read.parquet(f"{path}/verdict")))
+    verdict = spark.read.parquet(f"{path}/verdict")
+    return reshape.named_values(fact, star.dim_column(fact, verdict), sent=reshape.few(verdict))
 
 
 def changed_file_reload(spark: SparkSession, folder: str) -> DataFrame:

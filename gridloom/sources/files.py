@@ -121,21 +121,30 @@ def _splits(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], slice]]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of each split by number. A record that runs over the split's edge is given in pieces: one a split, by its place."""
+    """Records of each split by number. A record that runs over the split's edge is given in pieces: one a split, by its place.
+
+    Records of several lines leave together, a batch of them for each batch of lines.
+    """
     names = ["path", "row_no", "piece", "edge", "text"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
     now, held, number = None, [], 0
     inside, begins_inside = 0, False
+    made = []
 
-    def piece(open_end: bool) -> pa.RecordBatch:
-        edge = begins_inside or open_end
-        return pa.RecordBatch.from_arrays([pa.array([now[0]]), pa.array([number]), pa.array([now[1]]), pa.array([edge]), pa.array(["\n".join(held)])], names)
+    def close(open_end: bool) -> None:
+        made.append((now[0], number, now[1], begins_inside or open_end, "\n".join(held)))
+
+    def out() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names)
+        made.clear()
+        return batch
 
     for batch in batches:
         for key, at in _splits(batch):
             part = batch.slice(at.start, at.stop - at.start)
             if key != now:
                 if held:
-                    yield piece(bool(inside))
+                    close(bool(inside))
                 now, held = key, []
                 inside, number = part.column("_inside")[0].as_py(), part.column("_before")[0].as_py()
                 begins_inside = bool(inside)
@@ -145,25 +154,30 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Lines that are whole records go on as they are; only records of several lines are put together here.
             alone = begin & ~over
             if held and begin[0]:
-                yield piece(False)
+                close(False)
                 held, begins_inside = [], False
             numbers = number + np.cumsum(begin)
             if alone.any():
                 own = np.flatnonzero(alone)
                 lines = part.take(pa.array(own))
                 yield pa.RecordBatch.from_arrays([lines.column("path"), pa.array(numbers[own]), lines.column("_start"), pa.array(np.zeros(len(own), bool)), lines.column("value")], names)
-            texts = part.column("value")
-            for i in np.flatnonzero(~alone):
-                if begin[i]:
+            rest = np.flatnonzero(~alone)
+            texts = part.column("value").take(pa.array(rest)).to_pylist()
+            for text, nth, begun, goes_on in zip(texts, numbers[rest].tolist(), begin[rest].tolist(), over[rest].tolist()):
+                if begun:
                     held, begins_inside = [], False
-                number = int(numbers[i])
-                held.append(texts[int(i)].as_py())
-                if not over[i]:
-                    yield piece(False)
+                number = nth
+                held.append(text)
+                if not goes_on:
+                    close(False)
                     held, begins_inside = [], False
             number = int(numbers[-1])
+        if made:
+            yield out()
     if held:
-        yield piece(bool(inside))
+        close(bool(inside))
+    if made:
+        yield out()
 
 
 def scan_csv(spark: SparkSession, path: str, sep: str = ";", numbers: bool = True, glob: str = "*.csv") -> DataFrame:

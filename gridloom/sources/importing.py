@@ -68,7 +68,7 @@ def values_of(spark: SparkSession, store: str) -> DataFrame:
     """Named values of all files as they are now."""
     fact = sinks.read_facts(spark, f"{store}/fact")
     verdict = spark.read.parquet(f"{store}/verdict").drop("run")
-    return reshape.named_values(fact, star.dim_column(fact, verdict))
+    return reshape.named_values(fact, star.dim_column(fact, verdict), sent=reshape.few(verdict))
 
 
 def export_folder(spark: SparkSession, store: str, path: str, sep: str = ";") -> None:

@@ -1,10 +1,11 @@
 """Tasks of bounded size: wide rows are written, keys counted and schemas met in as many tasks as they ask for."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import cleanup, grid
+from gridloom.operators import cleanup, grid, reshape
 from gridloom.plans import inputs
-from gridloom.sources import layer as layers
+from gridloom.sources import files, layer as layers
 from gridloom.sources.layer import Layer
 
 CELLS = "array<struct<kind:string,num:double,txt:string>>"
@@ -60,3 +61,34 @@ def test_rows_of_a_schema_meet_its_facts_in_many_tasks(spark):
     gone, left = cleanup.transformed(raw, fact), cleanup.purge(raw, fact)
     assert gone.count() == 90 and left.count() == 10 and set(left.columns) == set(raw.columns)
     assert "_way" in plan(gone) and "_way" in plan(left)
+
+
+def test_records_of_several_lines_leave_in_batches():
+    text = [x for i in range(500) for x in (f'"a{i}', f'b";{i}')]
+    rows = {"path": ["p"] * 1000, "_start": [0] * 1000, "effect": pa.array([files._TURNS] * 1000, pa.int8()), "value": text, "_inside": [0] * 1000, "_before": [0] * 1000}
+    batch = pa.RecordBatch.from_pydict(rows)
+    out = list(files._records(iter([batch.slice(0, 501), batch.slice(501)])))
+    assert len(out) <= 4
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["row_no"], r["edge"], r["text"]) for r in got] == [(i + 1, False, f'"a{i}\nb";{i}') for i in range(500)]
+
+
+def test_a_grid_is_not_sent_whole_for_its_headers(spark, tmp_path):
+    spark.createDataFrame([(1, "s", i, [("text", None, str(i))]) for i in range(1, 9)], f"file_id bigint, sheet string, row_no bigint, cells {CELLS}").write.parquet(f"{tmp_path}/grid")
+    g = spark.read.parquet(f"{tmp_path}/grid")
+    found = grid.tables(g, spark.createDataFrame([(1, "s", None, "s", 1, 8)], "file_id bigint, sheet string, table_no int, table_name string, start_row bigint, end_row bigint"))
+    assert "BroadcastHashJoin" not in plan(found) and "SortMergeJoin" in plan(found)
+    assert [(r.header, r.n_rows) for r in found.collect()] == [(["1"], 7)]
+
+
+VALUES = "file_id bigint, sheet string, line_no bigint, column_key string, load_no bigint, value_num double, value_text string"
+
+
+def test_columns_are_sent_to_facts_and_never_facts_to_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "s", i, "k", 0, float(i), None) for i in range(2, 50)], VALUES).write.parquet(f"{tmp_path}/fact")
+    fact = spark.read.parquet(f"{tmp_path}/fact")
+    columns = spark.range(5000).select(F.when(F.col("id") == 0, "k").otherwise(F.uuid()).alias("column_key"), F.format_string("name %1000d", "id").alias("original_name"))
+    columns.write.parquet(f"{tmp_path}/column")
+    named = reshape.named_values(fact, spark.read.parquet(f"{tmp_path}/column"))
+    assert "BroadcastHashJoin [column_key#" in plan(named) and "BuildRight" in plan(named)
+    assert sorted(float(r.value) for r in named.collect()) == [float(i) for i in range(2, 50)]
