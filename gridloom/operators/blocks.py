@@ -4,6 +4,8 @@ A window over one hot group is one task. Here every group is cut into blocks of
 its integer position, so a window never sees more than ``BLOCK`` rows: rows are
 numbered inside their block, blocks inside their super-block, super-blocks
 inside the group, and the small per-block totals are joined back on the block.
+Rows are in tasks by block then, so totals come to them: left to itself, Spark
+sends all rows to every task where their files are small by good compression.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def _prefix(df: DataFrame, keys: Sequence[str], pos: str, value: Column, out: st
     window = Window.partitionBy(*inner).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("_local", F.sum("_v").over(window))
-        .join(before, inner)
+        .join(before.hint("merge"), inner)
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_v", "_local", "_before", level)
     )
@@ -67,7 +69,7 @@ def next_position(df: DataFrame, keys: Sequence[str], pos: str, out: str, block:
     here = F.lead(pos).over(Window.partitionBy(*inner).orderBy(pos))
     return (
         df.withColumn("_here", here)
-        .join(following, inner)
+        .join(following.hint("merge"), inner)
         .withColumn(out, F.coalesce("_here", "_following"))
         .drop("_blk", "_here", "_following")
     )
@@ -83,7 +85,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], pos: str, value: str, out
     return (
         df.withColumn("_nth", F.row_number().over(window))
         .withColumn("_here", F.lag(value).over(window))
-        .join(carried, inner)
+        .join(carried.hint("merge"), inner)
         .withColumn(out, F.when(F.col("_nth") > 1, F.col("_here")).otherwise(F.col("_carried")))
         .drop("_blk", "_nth", "_here", "_carried")
     )

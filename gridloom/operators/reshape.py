@@ -19,6 +19,8 @@ from gridloom.operators.grid import SHEET, TABLE, parse_sub_table, with_columns
 LINE = [*SHEET, "line_no"]
 #: Columns that are sent to every task at most; more of them meet the facts as Spark sees fit.
 SENT = 1 << 18
+#: Facts to a task that puts lines together, and lines to one that writes them.
+LINED, WRITTEN = 1 << 17, 1 << 18
 
 
 def value_of_fact() -> Column:
@@ -53,10 +55,11 @@ def lines(values: DataFrame) -> DataFrame:
     """One row per line: ``entity`` map and ``dated`` array of (name, value).
 
     Of repeated (line, column) values the latest load wins. One shuffle by line
-    serves both aggregations, and no group is wider than a sheet row.
+    serves both aggregations, and no group is wider than a sheet row. It has as
+    many tasks as the facts ask for: their bytes tell little of what they take unpacked.
     """
     latest = (
-        values.repartition(*LINE)
+        values.repartition(values.count() // LINED + 1, *LINE)
         .groupBy(*LINE, "name", "is_date")
         .agg(F.max_by("value", F.struct("load_no", "value")).alias("value"))
     )
@@ -222,6 +225,11 @@ def export_layout(values: DataFrame, tables: DataFrame, date: str = "Data", valu
     return wide.select("file_id", "t.sheet", "base", "t.origin", "t.columns", "t.inverted", "part", "widths", "header")
 
 
+def export_tasks(values: DataFrame, raw: DataFrame) -> int:
+    """Tasks to write everything in: no more lines go out than there are facts and raw rows."""
+    return (values.count() + raw.count()) // WRITTEN + 1
+
+
 def export_lines(values: DataFrame, raw: DataFrame, tables: DataFrame, layout: DataFrame) -> DataFrame:
     """Every line to write, as text cells under its sheet's header: ``file_id, sheet`` (the base one), ``origin, line_no, nth, header, cells``.
 

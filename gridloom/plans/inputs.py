@@ -98,7 +98,7 @@ def build_sales(spark: SparkSession, folder: str):
     columns = ["Cliente", "Saldo", *headers]
     lines = numbered(customer.join(table(spark, folder, "orders").select("o_custkey"), "o_custkey", "left_semi"),
                      ["file_id", "sheet"], "o_custkey", "_n")
-    rows = wide.join(lines, "o_custkey")
+    rows = wide.join(lines.hint("merge"), "o_custkey")  # both may be large, whatever their files' size
     raw = rows_of_wide(rows, F.col("file_id"), F.col("sheet"), F.col("_n") + 1, columns)
     return raw, lambda written: tables_of_wide(written, columns)
 

@@ -191,7 +191,7 @@ def _everything(spark: SparkSession, folder: str) -> str:
         values = _sales_values(spark, folder).withColumn("sheet", named).unionByName(normal)
         raw, tables = (moved(df) for df in parts(spark, folder))
         layout = reshape.export_layout(values, tables)
-        write_csv_sheets(reshape.export_lines(values, raw, tables, layout), path)
+        write_csv_sheets(reshape.export_lines(values, raw, tables, layout), path, tasks=reshape.export_tasks(values, raw))
 
     return inputs.stored(spark, folder, "everything", write)
 

@@ -78,4 +78,4 @@ def export_folder(spark: SparkSession, store: str, path: str, sep: str = ";") ->
     every = spark.read.parquet(f"{store}/tables")
     last = every.join(every.groupBy("file_id").agg(F.max("run").alias("run")), ["file_id", "run"]).drop("run")
     values = values_of(spark, store)
-    sinks.write_csv_sheets(reshape.export_lines(values, raw, last, reshape.export_layout(values, last)), path, sep)
+    sinks.write_csv_sheets(reshape.export_lines(values, raw, last, reshape.export_layout(values, last)), path, sep, reshape.export_tasks(values, raw))

@@ -88,14 +88,17 @@ def csv_line(cells: Column, sep: str = ";") -> Column:
     return F.array_join(F.transform(cells, field), sep)
 
 
-def write_csv_sheets(lines: DataFrame, path: str, sep: str = ";") -> None:
+def write_csv_sheets(lines: DataFrame, path: str, sep: str = ";", tasks: int | None = None) -> None:
     """All sheets (``reshape.export_lines``) as CSV in one job, whatever their columns: ``file_id=…/sheet=…/part=…``.
 
     A part is a block of lines, one file with the sheet's header on top; within
-    it lines are in order. One shuffle serves parts, order and writer.
+    it lines are in order. One shuffle serves parts, order and writer, in ``tasks``
+    (``reshape.export_tasks``) if given: a task sorts its lines unpacked.
     """
     part = block_of("line_no").alias("part")
     order = Window.partitionBy(*SHEET, "part").orderBy("line_no", "nth")
     rows = lines.select(*SHEET, part, "line_no", "nth", csv_line(F.col("header"), sep).alias("_header"), csv_line(F.col("cells"), sep).alias("_line"))
+    if tasks:
+        rows = rows.repartition(tasks, *SHEET, "part")
     topped = rows.withColumn("value", F.when(F.row_number().over(order) == 1, F.concat("_header", F.lit("\n"), "_line")).otherwise(F.col("_line")))
     topped.select(*SHEET, "part", "value").write.mode("overwrite").partitionBy(*SHEET, "part").text(path)

@@ -3,9 +3,9 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gridloom.operators import cleanup, grid, reshape
+from gridloom.operators import blocks, cleanup, grid, reshape
 from gridloom.plans import inputs
-from gridloom.sources import files, layer as layers
+from gridloom.sources import files, layer as layers, sinks
 from gridloom.sources.layer import Layer
 
 CELLS = "array<struct<kind:string,num:double,txt:string>>"
@@ -92,3 +92,29 @@ def test_columns_are_sent_to_facts_and_never_facts_to_columns(spark, tmp_path):
     named = reshape.named_values(fact, spark.read.parquet(f"{tmp_path}/column"))
     assert "BroadcastHashJoin [column_key#" in plan(named) and "BuildRight" in plan(named)
     assert sorted(float(r.value) for r in named.collect()) == [float(i) for i in range(2, 50)]
+
+
+def test_block_totals_come_to_the_rows(spark):
+    rows = spark.createDataFrame([("g", i, i % 3) for i in range(0, 40, 2)], "g string, pos bigint, v int")
+    summed = blocks.running_sum(rows, ["g"], "pos", F.col("v"), "upto", block=4)
+    nearby = blocks.next_position(rows, ["g"], "pos", "after", block=4)
+    before = blocks.previous_value(rows, ["g"], "pos", "v", "was", block=4)
+    assert not any("BroadcastHashJoin" in plan(df) for df in (summed, nearby, before))
+    assert {r.pos: r.upto for r in summed.collect()} == {p: sum(q % 3 for q in range(0, p + 1, 2)) for p in range(0, 40, 2)}
+
+
+def test_lines_are_put_together_and_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reshape, "LINED", 10)
+    monkeypatch.setattr(reshape, "WRITTEN", 10)
+    cells = [(1, f"s{s}", i, 0, n, f"{i}{n}", n != "a") for s in range(5) for i in range(2, 8) for n in ("a", "01/2024", "02/2024")]
+    values = spark.createDataFrame(cells, "file_id bigint, sheet string, line_no bigint, load_no bigint, name string, value string, is_date boolean")
+    made = reshape.lines(values)
+    assert made.rdd.getNumPartitions() == 90 // 10 + 1 and made.count() == 30
+    raw = spark.createDataFrame([], sinks.RAW)
+    tasks = reshape.export_tasks(values, raw)
+    assert tasks == 10
+    tables = spark.createDataFrame([], "file_id bigint, table_name string, schema_hash string, n_rows bigint, header array<string>")
+    sinks.write_csv_sheets(reshape.export_lines(values, raw, tables, reshape.export_layout(values, tables)), f"{tmp_path}/out", tasks=tasks)
+    for s in range(5):
+        text = "".join(p.read_text() for p in (tmp_path / f"out/file_id=1/sheet=s{s}/part=0").glob("part-*"))
+        assert text.splitlines() == ["a;Data;Valor", *[f"{i}a;{m}/24;{i}{n}" for i in range(2, 8) for m, n in (("jan", "01/2024"), ("fev", "02/2024"))]]
