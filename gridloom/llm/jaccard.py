@@ -18,8 +18,9 @@ exact, in these steps; no step sees all pairs of a group:
 4. Bounds. Each class has a parity bitmap; bits in which two differ bound the
    sets' difference from below and drop most pairs.
 5. Search. Sets of the remaining pairs meet in blocks of one query and a bounded
-   number of others. A block has inverted lists of its sets; the query merges its
-   short lists with a heap and probes its long ones by binary search (DivideSkip),
+   number of others; only the documents that stand for a wanted class are cut into
+   shingles again. A block has inverted lists of its sets; the query merges its
+   short lists by counting and probes its long ones by binary search (DivideSkip),
    and keeps those that reach the overlap they need.
 6. Links join classes to components by hooking and contraction.
 
@@ -37,9 +38,7 @@ rows. Other columns play no part.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,27 +60,28 @@ SALTS = 8  # buckets that a frequent shingle's list is spread over
 BUCKET = 2_000_000  # prefix entries that a bucket should hold
 DIRECT = 8  # lists of so many members give their pairs at once
 CHUNK = 2_000  # members in a row of a list
+ADDED = 1 << 20  # shingles that are counted in the sketch at a time
+CROSSED = 1 << 18  # pairs of list members that a task looks at a time
 BLOCK = 255  # sets that a query meets at a time
 PARTNERS = 4  # of a component, that one member meets before it meets the rest
 BRIEF = 64  # bytes of the folded bitmaps that list members carry
 WANTED = 1 << 24  # bits that tell which documents' sets to send
 MU = 0.02  # DivideSkip's weight of a probe against a merge
 U = np.uint64
-PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
-
-
-def set_of(h: np.ndarray) -> tuple[np.ndarray, bytes]:
-    own = np.unique(h)
-    return own, hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
 def sets(block: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
-    """Row, set and signature of each text with words."""
+    """Row, set (in ascending order) and signature of each text with words."""
     row, h = shingles(words(text_of(block.column("text")), GRAPHIC), size)
     at = np.searchsorted(row, np.arange(block.num_rows + 1))
-    for i in range(block.num_rows):
-        if at[i] < at[i + 1]:
-            yield i, *set_of(h[at[i] : at[i + 1]])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    h, at = h[new], np.append(0, np.cumsum(new))[at].tolist()
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        if a < b:
+            yield i, h[a:b], hashlib.blake2b(h[a:b], digest_size=16).digest()
 
 
 def class_of(signature: bytes) -> int:
@@ -126,32 +126,45 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
+def counted(sketch: np.ndarray, at: np.ndarray) -> None:
+    """Adds one to a counter for each time it is named, up to 255; in the counters' order, which memory likes better."""
+    at.sort()
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    at, times = at[first], np.diff(np.append(first, len(at)))
+    sketch[at] = np.minimum(sketch[at] + times, 255)
+
+
 def classes(documents: DataFrame, size: int) -> DataFrame:
     """kind 0: a row per document (doc_id, hash of its text, n, signature, cls, bitmap of the task's first document of a class); kind 1: pieces of the task's sketch, cls being the task's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch, made, held = np.zeros(SKETCH, "u1"), [], 0
         for block in blocks(batches, "text", READ):
             n, signature, cls, bitmap = ([None] * block.num_rows for _ in range(4))
             n = [0] * block.num_rows
-            made = []
             for i, own, sig in sets(block, size):
                 n[i], signature[i], cls[i], bitmap[i] = len(own), sig, class_of(sig), parity(own)
-                made.append(own)
-            if made:
-                np.add.at(sketch, (np.concatenate(made) % U(SKETCH)).astype(np.int64), 1)
+                made.append((own % U(SKETCH)).astype("<u4"))
+                held += len(own)
+            if held >= ADDED:
+                counted(sketch, np.concatenate(made))
+                made, held = [], 0
             k = block.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), block.column("doc_id"), block.column("text_hash"), pa.array(n, pa.int64()), pa.array(signature, pa.binary()), pa.array(cls, pa.int64()), pa.array(bitmap, pa.binary())], names)
+        if made:
+            counted(sketch, np.concatenate(made))
         if sketch.any():
-            small = np.minimum(sketch, 255).astype("u1")
-            parts = [small[i : i + PIECE].tobytes() for i in range(0, SKETCH, PIECE)]
+            parts = [sketch[i : i + PIECE].tobytes() for i in range(0, SKETCH, PIECE)]
             k = len(parts)
             none, task = pa.array([None] * k, pa.int64()), TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, none, pa.array(np.arange(k)), pa.array(parts, pa.binary()), pa.array(np.full(k, task)), pa.array([None] * k, pa.binary())], names)
 
     names = ["kind", "doc_id", "text_hash", "n", "signature", "cls", "bitmap"]
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "kind int, doc_id long, text_hash long, n long, signature binary, cls long, bitmap binary")
+    return texts(documents).mapInArrow(run, "kind int, doc_id long, text_hash long, n long, signature binary, cls long, bitmap binary")
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +245,11 @@ def lists(documents: DataFrame, often, buckets: int, size: int, percent: int) ->
                     continue
                 seen.add(sig)
                 n = len(own)
-                hot = stands_out(own, flags)
                 k = prefix_length(n, percent)
-                front = np.concatenate([own[~hot], own[hot]])[:k]
+                front = own[:k]
+                if stands_out(front, flags).any():
+                    hot = stands_out(own, flags)
+                    front = np.concatenate([own[~hot], own[hot]])[:k]
                 held.append((front, np.full(k, class_of(sig)), np.full(k, n, "<i4"), np.arange(k, dtype="<i4")))
                 count += k
                 if count >= READ:
@@ -252,8 +267,7 @@ MEMBERS = "list long, whole boolean, cls array<long>, n array<int>, pos array<in
 
 def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m with a first common shingle at i and j can share enough."""
-    least = -(-percent * (n.astype(np.int64) + m) // (100 + percent))
-    return np.minimum(n - i, m - j) >= least
+    return (100 + percent) * np.minimum(n - i, m - j).astype(np.int64) >= percent * (n.astype(np.int64) + m)
 
 
 def members(packed: DataFrame, percent: int) -> DataFrame:
@@ -265,13 +279,22 @@ def members(packed: DataFrame, percent: int) -> DataFrame:
         entries = read("entries", "<i4")
         cls, n = np.repeat(read("cls", "<i8"), entries), np.repeat(read("n", "<i4"), entries)
         h, pos = read("h", "<u4"), read("pos", "<i4")
+        base, salt = divmod(bucket, SALTS + 1)
+        order = h.astype(np.uint64) << U(32) | np.arange(len(h), dtype=np.uint64)  # fewer than 2**32 entries: a bucket holds some BUCKET
+        order.sort()
+        h, order = (order >> U(32)).astype("<u4"), (order & U(0xFFFFFFFF)).astype(np.int64)
+        if not salt:  # shingles of one entry give no list
+            same = h[1:] == h[:-1]
+            more = np.append(same, False) | np.append(False, same)
+            h, order = h[more], order[more]
+        cls, n, pos = cls[order], n[order], pos[order]
         order = np.lexsort((cls, h))
         h, cls, n, pos = h[order], cls[order], n[order], pos[order]
-        keep = np.append(True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]))
+        keep = np.ones(len(h), bool)
+        keep[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])
         h, cls, n, pos = h[keep], cls[keep], n[keep], pos[keep]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
         size = np.diff(np.append(first, len(h)))
-        base, salt = divmod(bucket, SALTS + 1)
         rows, known = [], {}
         found = [np.zeros((0, 2), np.int64)]
         for k in range(2, 1 + DIRECT if not salt else 2):
@@ -327,106 +350,137 @@ def later_pairs(table: DataFrame, components: DataFrame, known: DataFrame, befor
     spread = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     spread = spread.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "cls", "n", "pos", "component", "brief")
 
-    def cross(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told = np.zeros(0, PAIR)  # pairs of this task so far, which other lists hold as well
-        for key, g in runs(batches, ["list", "i", "j"]):
-            _, i, j = key
-            cls, n, pos, com, own = (g[c].to_numpy() for c in ("cls", "n", "pos", "component", "own"))
-            brief = np.frombuffer(b"".join(g["brief"]), np.uint64).reshape(len(cls), -1)
-            _, com, sizes = np.unique(com, return_inverse=True, return_counts=True)
-            rank = sizes[com] * (len(sizes) + 1) + com  # members of smaller components look for larger ones
-            out = []
-            for x in range(len(cls)):
-                y = np.flatnonzero((rank > rank[x]) & (com != com[x]) & may_link(n[x], pos[x], n, pos, percent))
-                y = y[own[y] != own[x]] if i != j else y
-                y = y[np.bitwise_count(brief[y] ^ brief[x]).sum(axis=1) <= most_apart(n[y].astype(np.int64) + n[x], percent)]
-                if partners is not None and len(y) > partners:
-                    y = y[np.lexsort((mix((cls[y] ^ cls[x]).view(U)), com[y]))]
-                    new = np.flatnonzero(np.append(True, com[y][1:] != com[y][:-1]))
-                    y = y[np.arange(len(y)) - np.repeat(new, np.diff(np.append(new, len(y)))) < partners]
-                if len(y):
-                    own_pairs = np.empty(len(y), PAIR)
-                    own_pairs["a"], own_pairs["b"] = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
-                    out.append(own_pairs)
-            pairs = np.unique(np.concatenate(out)) if out else told[:0]
-            pairs = pairs[~np.isin(pairs, told, assume_unique=True)]
-            if len(pairs):
-                told = np.concatenate([told, pairs]) if len(told) < TOLD else pairs
-                yield pd.DataFrame({"a": pairs["a"], "b": pairs["b"]})
-
     keys = ["list", "i", "j"]
-    made = spread.repartition(partitions(table.sparkSession), *keys).sortWithinPartitions(*keys).mapInPandas(cross, "a long, b long")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = tuple(np.zeros(0, t) for t in (U, np.int64, np.int64))  # pairs of this task so far, which other lists hold as well
+        for rows in whole(batches, keys):
+            found = []
+            for a, b in across(rows, keys, percent, partners):
+                found.append((a, b))
+                if sum(len(a) for a, _ in found) >= CROSSED:
+                    told, a, b = untold(told, *(np.concatenate(c) for c in zip(*found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    found = []
+            if found:
+                told, a, b = untold(told, *(np.concatenate(c) for c in zip(*found)))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    made = spread.repartition(partitions(table.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(cross, "a long, b long")
     return made.distinct().join(before, ["a", "b"], "left_anti")
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Rows of equal keys together, of batches sorted by them; holds one such run at a time."""
-    held: list[pd.DataFrame] = []
-    now = None
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """The first row of each run of rows that are equal in all columns."""
+    change = np.ones(len(columns[0]), bool)
+    change[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(change)
+
+
+def whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows of batches sorted by keys, those of equal keys together; holds a batch and one such run at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
-        k = batch[keys].to_numpy()
-        cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(batch))):
-            key = tuple(k[a])
-            if now is not None and key != now:
-                yield now, pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            now = key
-            held.append(batch.iloc[a:b])
-    if now is not None:
-        yield now, pd.concat(held) if len(held) > 1 else held[0]
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        first = starts(*(batch.column(k).to_numpy() for k in keys)).tolist()
+        if held and len(first) > 1:
+            yield pa.Table.from_batches([*held, batch.slice(0, first[1])]).combine_chunks()
+            held, batch, first = [], batch.slice(first[1]), [f - first[1] for f in first[1:]]
+        if first[-1]:
+            yield pa.Table.from_batches([batch.slice(0, first[-1])])
+        held.append(batch.slice(first[-1]))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def across(rows: pa.Table, keys: list[str], percent: int, partners: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of members of different components in one run of keys that may link; of an i and a j that differ, those of different parts."""
+    i, j, cls, n, pos, com, own = (rows.column(c).to_numpy() for c in ("i", "j", "cls", "n", "pos", "component", "own"))
+    brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), np.uint64).reshape(len(cls), -1)
+    first = starts(*(rows.column(k).to_numpy() for k in keys))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(cls))))
+    order = np.lexsort((com, group))
+    run = starts(group[order], com[order])
+    size = np.diff(np.append(run, len(cls)))
+    order = order[np.lexsort((com[order], np.repeat(size, size), group[order]))]  # members of smaller components look for larger ones
+    group, one, cls, n, pos, com, own, brief = (c[order] for c in (group, i == j, cls, n, pos, com, own, brief))
+    run = starts(group, com)
+    begin = np.repeat(np.append(run[1:], len(cls)), np.diff(np.append(run, len(cls))))  # those after a member's own component
+    count = np.append(first[1:], len(cls))[group] - begin
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(cls):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - count[at] + CROSSED, "right")))
+        x = np.repeat(np.arange(at, to), count[at:to])
+        y = np.arange(len(x)) + np.repeat(begin[at:to] - (upto[at:to] - count[at:to] - (upto[at] - count[at])), count[at:to])
+        at = to
+        fits = may_link(n[x], pos[x], n[y], pos[y], percent) & (one[x] | (own[x] != own[y]))
+        x, y = x[fits], y[fits]
+        fits = np.bitwise_count(brief[x] ^ brief[y]).sum(axis=1) <= most_apart(n[x].astype(np.int64) + n[y], percent)
+        x, y = x[fits], y[fits]
+        if partners is not None and len(x):
+            by = np.lexsort((mix((cls[y] ^ cls[x]).view(U)), com[y], x))
+            x, y = x[by], y[by]
+            new = starts(x, com[y])
+            few = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x)))) < partners
+            x, y = x[few], y[few]
+        if len(x):
+            yield np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
+
+
+def untold(told: tuple, a: np.ndarray, b: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Distinct pairs that told (their hashes in order, a, b) doesn't hold, and told with them. Pairs whose hashes collide may be told again."""
+
+    def ordered(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+        by = np.argsort(key, kind="stable")
+        return key[by], a[by], b[by]
+
+    new = ordered(mix(a.view(U) ^ mix(b.view(U))), a, b)
+    first = starts(*new[1:]) if len(a) else np.zeros(0, np.int64)
+    new = tuple(c[first] for c in new)
+    at = np.minimum(np.searchsorted(told[0], new[0]), max(len(told[0]) - 1, 0))
+    seen = np.logical_and.reduce([t[at] == c for t, c in zip(told, new)]) if len(told[0]) else np.zeros(len(first), bool)
+    new = tuple(c[~seen] for c in new)
+    told = ordered(*(np.concatenate(c) for c in zip(told, new))) if len(told[0]) < TOLD else new
+    return told, new[1], new[2]
 
 
 def search(query: np.ndarray, others: list[np.ndarray], percent: int) -> list[int]:
     """Which of the others share enough with the query: T-occurrence over their inverted lists by DivideSkip."""
-    n = len(query)
-    due = [needed(n, len(o), percent) for o in others]
-    least = min(due)
-    place, member = [], []
-    for k, o in enumerate(others):
+    n, k = len(query), len(others)
+    due = np.array([needed(n, len(o), percent) for o in others])
+    least = int(due.min())
+    entries = []
+    for i, o in enumerate(others):
         at = np.searchsorted(query, o)
         at[at == n] = 0
-        hit = at[query[at] == o]
-        place.append(hit)
-        member.append(np.full(len(hit), k))
-    place, member = np.concatenate(place), np.concatenate(member)
-    order = np.lexsort((member, place))
-    place, member = place[order], member[order]
-    inverted = [x.tolist() for x in np.split(member, np.flatnonzero(place[1:] != place[:-1]) + 1) if len(x)]
-    if len(inverted) < least:
+        entries.append(at[query[at] == o] * k + i)
+    entries = np.sort(np.concatenate(entries))  # the inverted lists, one after the other: place in the query, member
+    place, member = np.divmod(entries, k)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    if len(first) < least:
         return []
-    inverted.sort(key=len)
-    long_ = min(least - 1, int(least / (MU * math.log2(len(inverted[-1]) + 1) + 1)))
-    short, probed = inverted[: len(inverted) - long_], inverted[len(inverted) - long_ :]
-    # The heap holds the next member of each short list; equal ones come off together.
-    heap = [(x[0], k, 0) for k, x in enumerate(short)]
-    heapq.heapify(heap)
+    size = np.diff(np.append(first, len(place)))
+    by_size = np.argsort(size, kind="stable")
+    long_ = min(least - 1, int(least / (MU * math.log2(size.max() + 1) + 1)))
+    short, probed = by_size[: len(size) - long_], place[first[by_size[len(size) - long_ :]]] * k
+    merged = np.zeros(len(size), bool)
+    merged[short] = True
+    count = np.bincount(member[np.repeat(merged, size)], minlength=k)  # short lists: how many of them hold each member
     out = []
-    while heap:
-        now, count = heap[0][0], 0
-        while heap and heap[0][0] == now:
-            _, k, p = heap[0]
-            count += 1
-            if p + 1 < len(short[k]):
-                heapq.heapreplace(heap, (short[k][p + 1], k, p + 1))
-            else:
-                heapq.heappop(heap)
-        if count < due[now] - long_:
-            continue
-        for done, x in enumerate(probed):
-            p = bisect_left(x, now)
-            count += p < len(x) and x[p] == now
-            if count + len(probed) - done - 1 < due[now]:
-                break
-        if count >= due[now]:
+    for now in np.flatnonzero(count >= due - long_).tolist():  # long lists: a binary search in each
+        at = np.minimum(np.searchsorted(entries, probed + now), len(entries) - 1)
+        if count[now] + (entries[at] == probed + now).sum() >= due[now]:
             out.append(now)
     return out
 
 
 def links(documents: DataFrame, known: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are alike. known: cls, n, bitmap and doc_id of one document of each class."""
+    """Those pairs (a, b) whose sets are alike. known: cls, n, bitmap, and doc_id and text_hash of one document of each class."""
     spark = documents.sparkSession
 
     def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -437,40 +491,38 @@ def links(documents: DataFrame, known: DataFrame, pairs: DataFrame, size: int, p
 
     ends = known.select(F.col("cls").alias("a"), "n", F.col("bitmap").alias("x")), known.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
     left = stored(pairs.join(ends[0], "a").join(ends[1], "b").mapInPandas(close, "a long, b long"), "pairs")
-    # Bits of the documents whose sets are wanted: a fixed size, whatever their number.
-    wanted = known.join(left.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select(F.pmod(F.col("cls").bitwiseXOR(F.xxhash64("doc_id")), F.lit(WANTED)).alias("bit"))
-    words_ = wanted.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-    flags = np.zeros(WANTED >> 6, np.int64)
-    for r in words_.toLocalIterator():
-        flags[r["word"]] = r["bits"]
-    held = spark.sparkContext.broadcast(flags)
+    # Bits of the documents whose sets are wanted, one of each class: WANTED / 64 rows at most, whatever their number. The others' texts aren't read by Python.
+    bit = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(WANTED)).alias("bit")
+    wanted = known.join(left.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls").select(bit)
+    flags = wanted.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", READ):
-            ids, made = block.column("bit").to_pylist(), []
-            for i, own, sig in sets(block, size):
-                bit = (class_of(sig) ^ ids[i]) % WANTED
-                if int(held.value[bit >> 6]) >> (bit & 63) & 1:
-                    made.append((class_of(sig), own.tobytes()))
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cls", "own"])
+            made = [(class_of(sig), own.tobytes()) for _, own, sig in sets(block, size)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cls", "own"])
 
-    rows = documents.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("bit"))
+    rows = texts(documents).select("text", bit).join(F.broadcast(flags), F.shiftright("bit", 6) == F.col("word"))
+    rows = rows.filter("shiftrightunsigned(bits, int(bit & 63)) & 1 = 1").select("text")
     sets_ = rows.mapInArrow(keyed, "cls long, own binary").dropDuplicates(["cls"])
     count = left.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
     asked = left.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("cls"))
     asked = asked.unionByName(count.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("cls")))
     met = asked.join(sets_, "cls").repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (a, _), g in runs(batches, ["a", "salt"]):
-            own = {c: np.frombuffer(x, "<u8") for c, x in zip(g["cls"], g["own"])}
-            query = own.pop(a)
-            ids = list(own)
-            if ids:
-                yield pd.DataFrame({"a": a, "b": np.array([ids[k] for k in search(query, [own[c] for c in ids], percent)], np.int64)})
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches, ["a", "salt"]):
+            a, cls, own = rows.column("a").to_numpy(), rows.column("cls").to_numpy(), rows.column("own")
+            first = starts(a, rows.column("salt").to_numpy())
+            out = []
+            for i, j in zip(first.tolist(), np.append(first[1:], len(a)).tolist()):
+                met_ = {c: np.frombuffer(own[k].as_buffer(), "<u8") for k, c in enumerate(cls[i:j].tolist(), i)}
+                query = met_.pop(int(a[i]))
+                ids = list(met_)
+                if ids:
+                    out.extend((int(a[i]), ids[k]) for k in search(query, [met_[c] for c in ids], percent))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return met.mapInPandas(find, "a long, b long")
+    return met.mapInArrow(find, "a long, b long")
 
 
 def connected(links_: DataFrame) -> DataFrame:
@@ -496,7 +548,7 @@ def labelled(documents: DataFrame, percent: int, size: int) -> DataFrame:
     spark = documents.sparkSession
     table = stored(classes(documents, size), "classes")
     docs = table.filter("kind = 0").select("doc_id", "text_hash", "n", "signature", "cls", "bitmap")
-    known = docs.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "n", "bitmap")).alias("r")).select("cls", "r.doc_id", "r.n", "r.bitmap")
+    known = docs.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash", "n", "bitmap")).alias("r")).select("cls", "r.doc_id", "r.text_hash", "r.n", "r.bitmap")
     known = stored(known, "known")
     often = spark.sparkContext.broadcast(frequent(table))
     entries = known.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0

@@ -41,9 +41,12 @@ def _power(which: int, base: int, n: int) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
+        h = h ^ (h >> np.uint64(30))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        return h
 
 
 @dataclass
@@ -63,9 +66,9 @@ class Words:
 
 def words(texts: pa.Array, inside: np.ndarray = ALNUM) -> Words:
     raw, at = buffers(texts)
-    data = LOWER[raw]
+    data = raw + ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))  # capitals of ASCII become small
     flags = np.zeros(len(data) + 2, bool)
-    flags[1:-1] = inside[data]
+    np.take(inside, data, out=flags[1:-1])
     here, edge = flags[1:-1], np.zeros(len(data) + 1, bool)
     edge[at] = True
     begin = np.flatnonzero(here & (~flags[:-2] | edge[:-1]))
@@ -89,12 +92,20 @@ def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     count = np.diff(w.first)
     own = np.maximum(count - size + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), own)
-    place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + w.first[row]
-    h = np.zeros(len(row), np.uint64)
+    starts = np.cumsum(own) - own
+    place = np.arange(own.sum()) + np.repeat(w.first[:-1] - starts, own)
+    out, h = np.zeros(len(row), np.uint64), np.zeros(len(w.hash), np.uint64)
     with np.errstate(over="ignore"):
-        short = count[row] < size
-        for k in range(size):
-            here = np.minimum(place + k, max(len(w.hash) - 1, 0))
-            more = mix(h * STEP + w.hash[here]) if len(w.hash) else h
-            h = np.where(short & (k >= count[row]), h, more)
-    return row, h
+        for k in range(1, size + 1):  # h: of the runs of k words that begin at each word
+            h = h[: max(len(w.hash) - k + 1, 0)] * STEP
+            h += w.hash[k - 1 :]
+            h = mix(h)
+            whole = np.flatnonzero(count == k) if k < size else []
+            if len(whole):
+                out[starts[whole]] = h[w.first[whole]]
+    long_ = count >= size
+    if long_.all():
+        return row, h[place]
+    of = long_[row]
+    out[of] = h[place[of]]
+    return row, out
