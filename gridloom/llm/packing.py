@@ -36,6 +36,12 @@ BROADCAST_ROWS = 500_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, class int, part int, place long"
 
 
+def binaries(values: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Stretches of values, one after the other, as bytes."""
+    ends = np.append(0, np.cumsum(length)) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(values)]).cast(pa.binary())
+
+
 def pieces(df: DataFrame, tokenizer: str, cut: str | None, end_id: int, size: int, step: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: full sequences of a document, and its rest. ``class``: length in steps, rounded up; ``place``: its number in its class and task."""
 
@@ -43,20 +49,20 @@ def pieces(df: DataFrame, tokenizer: str, cut: str | None, end_id: int, size: in
         from pyspark import TaskContext
 
         part, encode, seen = TaskContext.get().partitionId(), encoder(tokenizer, cut), np.zeros(-(-size // step) + 1, np.int64)
-        end, k = np.array([end_id], encode.dtype).tobytes(), encode.dtype.itemsize
         for block in blocks(batches, "text"):
-            made = [x + end for x in encode.ids(text_of(block.column("text")).to_pylist())]
-            total = np.fromiter(map(len, made), np.int64, len(made)) // k
+            own, at = encode.flat(text_of(block.column("text")))
+            made = np.insert(own, at[1:], end_id)  # the end id after each text
+            total = np.diff(at) + 1
             count = -(-total // size)
-            row = np.repeat(np.arange(len(made)), count)
+            row = np.repeat(np.arange(len(total)), count)
             start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
             length = np.minimum(size, total[row] - start)
             cls = -(-length // step)
             place = pd.Series(cls).groupby(cls).cumcount().to_numpy() + seen[cls]
             seen += np.bincount(cls, minlength=len(seen))
-            ids = [made[r][s * k : (s + n) * k] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist())]
+            ids = binaries(made, length)
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(total[row]), pa.array(ids, pa.binary()), pa.array(cls.astype(np.int32)), pa.array(np.full(len(row), part, np.int32)), pa.array(place)],
+                [block.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(total[row]), ids, pa.array(cls.astype(np.int32)), pa.array(np.full(len(row), part, np.int32)), pa.array(place)],
                 [c.split()[0] for c in PIECES.split(", ")],
             )
 

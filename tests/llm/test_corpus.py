@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small rows with nulls, empty and long texts, repeated rows and clashing columns."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -11,10 +12,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontaminate, fingerprints, jaccard, language, learning, packing, quality, secret_scan, token_files, toxicity
+from gridloom.llm import chat, decontaminate, fingerprints, jaccard, language, learning, packing, quality, secret_scan, token_files, tokens, toxicity
 from gridloom.llm.arrow import text_of
 from gridloom.llm.queries import tokenizer
 from gridloom.llm.tokens import Encoder
+from gridloom.llm.words import words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -28,6 +30,28 @@ def test_parts_encode_as_the_whole(name, cut):
     assert own.ids(texts) == [own.whole(t) for t in texts]
 
 
+def test_blocks_encode_as_the_whole(monkeypatch):
+    """Ids of blocks of texts as flat arrays; each distinct part is encoded once, whatever its capitals."""
+    rng = random.Random(2)
+    own = Encoder(tokenizer("word_bpe_49k.json"), "space")
+    alphabet = ["a", "B", "é", "É", " ", "\n", "'", "s", "1", "!", "日", "́", "\t", "  ", "Σ", "\xa0", ".", "<|endoftext|>", "İ", "The", "the,"]
+    encoded, real = Counter(), own.encoded
+    monkeypatch.setattr(own, "encoded", lambda parts: encoded.update(parts) or real(parts))
+    for n in (0, 1, 40, 400, 400):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 15))) for _ in range(n)]
+        ids, at = own.flat(text_of(pa.array(texts, pa.string())))
+        assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [own.whole(t) for t in texts] and len(at) == n + 1
+    assert set(encoded.values()) == {1} and "the" in encoded and "The" not in encoded
+
+
+def test_parts_of_one_hash_are_told_apart(monkeypatch):
+    own = Encoder(tokenizer("word_bpe_49k.json"), "space")
+    monkeypatch.setattr(tokens, "words", lambda *a: dataclasses.replace(w := words(*a), hash=w.hash & np.uint64(1)))
+    for texts in (["one two", "three"], ["four one five"]):
+        ids, at = own.flat(text_of(pa.array(texts)))
+        assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [own.whole(t) for t in texts]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "user", "[INST] <\\/s> </s>"), (1, 0, "sys\\n\nx", None), (1, 1, "user", "[INST] <\\/s> </s>"), (1, 2, "assistant", "é[/INST]"), (None, None, None, "x"), (2, 0, "assistant", "y" * 5000)]
     got = {r.conv_id: r for r in chat.digest(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
@@ -259,6 +283,55 @@ def test_one_row_of_each_component(spark):
     assert texts == Counter([(1, a), (5, b), (5, c), (None, e), (8, d.upper() + " Q"), (5, ""), (5, None), (5, ""), (None, ""), (None, None)])
 
 
+def test_only_wanted_texts_are_cut_again(spark, monkeypatch):
+    """All texts are cut into shingles for their classes and for the prefix lists; then only those of candidate pairs."""
+    rng = random.Random(12)
+    prose = [" ".join(rng.choices("abcdefghijklmnopqrst", k=80)) for _ in range(300)]
+    rows = [*enumerate(prose), (900, prose[7] + " x"), (901, prose[7] + " x y")]
+    cut, real = spark.sparkContext.accumulator(0), jaccard.sets
+
+    def counting(block, size):
+        cut.add(block.num_rows)
+        return real(block, size)
+
+    monkeypatch.setattr(jaccard, "sets", counting)
+    got = {i: c for i, _, c in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, c in got.items() if i != c] == [900, 901] and got[900] == got[901] == 7
+    assert 2 * len(rows) < cut.value < 2.2 * len(rows)
+
+
+@pytest.mark.parametrize("partners", [None, 2])
+def test_pairs_across_components(monkeypatch, partners):
+    """Whole lists at a time, whatever their place in the batches, in bounded steps; told pairs aren't told again."""
+    monkeypatch.setattr(jaccard, "CROSSED", 50)
+    rng = np.random.default_rng(4)
+    rows = []
+    for key in sorted((int(rng.integers(3)), i, j) for i, j in ((0, 0), (0, 1), (1, 1))):
+        for _ in range(int(rng.integers(1, 40))):
+            cls = int(rng.integers(-90, 90))
+            part = key[1] if key[1] == key[2] else int(rng.integers(2))
+            rows.append((*key, part, cls, 20 + cls % 9, cls % 4, cls % 5, np.full(jaccard.BRIEF, cls % 3 * 127, np.uint8).tobytes()))
+    names = ["list", "i", "j", "own", "cls", "n", "pos", "component", "brief"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 7]]) for k in range(0, len(rows), 7)]
+    found = []
+    for some in jaccard.whole(iter(batches), names[:3]):
+        found.extend(p for a, b in jaccard.across(some, names[:3], 75, partners) for p in zip(a.tolist(), b.tolist()))
+    expect = set()
+    for x in rows:
+        for y in rows:
+            if x[:3] == y[:3] and x[7] != y[7] and (x[1] == x[2] or x[3] != y[3]) and x[8] == y[8]:
+                if min(x[5] - x[6], y[5] - y[6]) >= jaccard.needed(x[5], y[5], 75):
+                    expect.add((min(x[4], y[4]), max(x[4], y[4])))
+    assert set(found) == expect if partners is None else set(found) < expect
+    told = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    half = len(found) // 2
+    out = []
+    for some in (found[:half], found[half:], found):
+        told, a, b = jaccard.untold(told, *np.array(some, np.int64).T)
+        out.extend(zip(a.tolist(), b.tolist()))
+    assert len(out) == len(set(out)) and set(out) == set(found)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_divide_skip(seed):
     rng = np.random.default_rng(seed)
