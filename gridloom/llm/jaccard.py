@@ -54,7 +54,6 @@ from gridloom.llm.words import GRAPHIC, mix, shingles, words
 READ = 1 << 19  # bytes of text that are cut into shingles at a time
 SKETCH = 1 << 23  # counters; a fixed size
 PIECE = 1 << 17  # counters in a row of the sketch
-WAYS = 64  # streams that the tasks' sketches of a piece are added in first
 TOLD = 500_000  # pairs that a task remembers, so as not to name them again
 SALTS = 8  # buckets that a frequent shingle's list is spread over
 BUCKET = 2_000_000  # prefix entries that a bucket should hold
@@ -188,10 +187,11 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent(table: DataFrame) -> np.ndarray:
     """Bits of the sketch whose count stands out, as one packed bitmap of fixed size.
 
-    Every task has its own sketch: they are added in WAYS streams a piece, then those streams.
+    Every task has its own sketch: they are added in as many streams a piece as each stream has sketches, then those streams.
     """
     spark = table.sparkSession
-    added = table.filter("kind = 1").select(F.col("n").alias("piece"), F.pmod("cls", F.lit(WAYS)).alias("way"), F.lit(0).cast("long").alias("total"), F.col("signature").alias("counts"))
+    ways = math.isqrt((table.filter("kind = 1").agg(F.max("cls")).first()[0] or 0) + 1)
+    added = table.filter("kind = 1").select(F.col("n").alias("piece"), F.pmod("cls", F.lit(ways)).alias("way"), F.lit(0).cast("long").alias("total"), F.col("signature").alias("counts"))
     for way in ("way", F.lit(0).cast("long").alias("way")):
         some = added.select("piece", way, "counts").repartition(partitions(spark), "piece", "way").sortWithinPartitions("piece", "way")
         added = some.mapInArrow(summed, "piece long, way long, total long, counts binary")
